@@ -11,20 +11,11 @@ from siftline.functions import vocab as V
 from siftline.operators import triage as T
 from siftline.plans import corpus
 from siftline.plans import sqltext as S
+from siftline.plans.registry import registry
 from siftline.plans.sqltext import any_kw, any_word, q
 from siftline.session import load
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 # -- SQL of the gates -------------------------------------------------------
