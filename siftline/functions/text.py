@@ -57,15 +57,20 @@ def any_keyword(text: Col, vocab: Sequence[str], word_boundary: bool = False) ->
     """
     text = as_col(text)
     if not word_boundary:
-        return any_keyword_in(text, F.array(*[F.lit(w) for w in vocab]))
+        return any_keyword_in(text, word_array(vocab))
     singles = [w for w in vocab if " " not in w]
     phrases = [w for w in vocab if " " in w]
-    tests = [any_keyword_in(text, F.array(*[F.lit(w) for w in phrases]))] if phrases else []
+    tests = [any_keyword_in(text, word_array(phrases))] if phrases else []
     if singles:
         tests.append(text.rlike(standing_alone(singles)))
     return any_of(tests)
 
 
+def word_array(vocab: Sequence[str]) -> Column:
+    """The words as one constant array (folded when the query is planned)."""
+    return F.split(F.lit("\x01".join(vocab)), "\x01")
+
+
 def standing_alone(singles: Sequence[str]) -> str:
     """Pattern for any of the words with no word character on either side."""
     return f"(?:^|{P.NOT_WORD})(?:{'|'.join(re.escape(w) for w in singles)})(?:$|{P.NOT_WORD})"

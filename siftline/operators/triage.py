@@ -446,8 +446,8 @@ def triage(
         F.struct(*[feas[c].alias(c) for c in ("target", "features", "task_type", "data_source", "intended_use")]),
     )
     return (
-        df.withColumn("decision", result)
-        .withColumn("definition", definition)
+        df.withColumn("decision", X.once(result))
+        .withColumn("definition", X.once(definition))
         .drop("_raw", "_all", "_body", "_direct")
     )
 
