@@ -120,13 +120,16 @@ def cap_categories(df: DataFrame, kept: Mapping[str, Sequence[str]], other: str
 
 
 def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code): alphabetical codes from 0, NULL as the text 'nan'."""
+    """(column, value, code): alphabetical codes from 0, NULL as the text 'nan'.
+
+    Meant for capped columns, which have at most 51 levels.
+    """
     levels = stacked(df, columns).select("column", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
     return levels.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
 
 
 def ordinal_encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
-    """Replace text by its code. The code table is joined, so it may be of any size."""
+    """Replace text by its code."""
     codes = category_codes(df, columns) if codes is None else codes
     for c in columns:
         table = codes.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
