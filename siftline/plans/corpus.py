@@ -40,7 +40,10 @@ def statement(key: str):
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(load(spark, sf_dir, "documents"))
+    return as_posts(spread(load(spark, sf_dir, "documents")))
+
+
+def as_posts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
