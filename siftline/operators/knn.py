@@ -54,7 +54,7 @@ def knn_join(
     part: str | None = None,
     exclude_self: bool = False,
     keep_undirected: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """(id, neighbour, distance, similarity): the ``k`` nearest base rows of each query row.
@@ -75,6 +75,8 @@ def knn_join(
     b = cut(b)
     q = cut(q_key.groupBy("part", "vec").agg(F.min("key").alias("qid")))
 
+    # More cells pay off when there are rows to prune; at most PIVOTS rows reach the driver.
+    pivots = pivots or min(PIVOTS, max(1, b.count() // 256))
     sample = b.orderBy(F.md5(F.col("id").cast("string"))).limit(pivots).select("vec").collect()
     if not sample:
         near = q.sparkSession.createDataFrame([], T.StructType([*q.schema.fields[2:]])).select(

@@ -159,6 +159,15 @@ def balanced(prep: Prepared, trigger: float = 2.0, max_rows: int = 50_000, k: in
 # -- models -----------------------------------------------------------------
 
 
+def few_partitions(df: DataFrame, rows_each: int = 10_000) -> tuple[DataFrame, int]:
+    """(cached frame, its rows). Fits run many short jobs, so small tables get few tasks."""
+    kept = df.cache()
+    n = kept.count()
+    have = kept.rdd.getNumPartitions()
+    wanted = n // rows_each + 1
+    return (kept.coalesce(wanted).cache() if wanted < have else kept), n
+
+
 def knn_predict(train: DataFrame, test: DataFrame, k: int, task: str = "classification", key: str = "id") -> DataFrame:
     """(key, prediction): majority class (smallest on a tie) or mean of the ``k`` nearest rows.
 
@@ -310,9 +319,10 @@ def train(
         return failed(f"Unsupported task type: {task}")
 
     prep = prepare(df, target, task, key, seed=seed)
-    rows = (balanced(prep, seed=seed) if task == "classification" else prep.train.select("label", "vec")).cache()
-    test = _vectors(prep.test).cache()
-    n, classes = rows.count(), len(prep.labels)
+    rows = balanced(prep, seed=seed) if task == "classification" else prep.train.select("label", "vec")
+    rows, n = few_partitions(rows)
+    test = few_partitions(_vectors(prep.test))[0]
+    classes = len(prep.labels)
     k = cv if cv is not None else (folds_for(n) if task == "classification" else 5)
 
     board, fitted = [], []
