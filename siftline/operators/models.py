@@ -427,8 +427,8 @@ def finalise(df: DataFrame, task: str, target: str, key: str = "id", models: Seq
         return got, None
     best = got.leaderboard.where("error is null").orderBy(F.col("cv_mean").desc_nulls_last(), "seq").first()
     code = best["model"].lower()
-    rows = got.prepared.rows.select("label", "vec")
-    return got.leaderboard, fit_one(code, rows, task, len(got.prepared.labels), rows.count(), seed, **(options or {}).get(code, {}))
+    rows, n = few_partitions(got.prepared.rows.select("label", "vec"))
+    return got.leaderboard, fit_one(code, rows, task, len(got.prepared.labels), n, seed, **(options or {}).get(code, {}))
 
 
 def evaluate_saved(path: str, df: DataFrame, prepared_rows: DataFrame, key: str, task: str) -> DataFrame:

@@ -23,8 +23,9 @@ BATCH_STRIDE = 2**40  # registry_seq = batch * stride + position in the batch
 ENTRY = T.StructType(
     [f for f in PROBLEM_REGISTRY.fields if f.name not in ("last_seen", "seen_count", "task_types")] + [T.StructField("batch", T.LongType())]
 )
-SIGHTING = T.StructType.fromDDL(
-    "registry_seq long, dataset_id string, task_type string, n long, first_seq long, seen_at timestamp, batch long"
+SIGHTING = (
+    T.StructType().add("registry_seq", "long").add("dataset_id", "string").add("task_type", "string")
+    .add("n", "long").add("first_seq", "long").add("seen_at", "timestamp").add("batch", "long")
 )
 
 
