@@ -109,9 +109,9 @@ def silhouette_squared(df: DataFrame, cluster: str = "prediction", vector: str =
     dims = x.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("s"))
     sums = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sums"))
     stats = x.groupBy("c").agg(F.count("*").alias("n"), F.sum(sq).alias("ss")).join(sums, "c")
-    # One row per cluster, of which there are at most ten.
+    # One value for all rows, with one element per cluster; clusters are few.
     table = stats.agg(F.collect_list(F.struct("c", "n", "ss", "sums")).alias("t"))
-    j = x.withColumn("xx", sq).join(F.broadcast(table))
+    j = x.withColumns({"xx": sq, "t": table.scalar()})
 
     def total(e: Column) -> Column:
         dot = F.aggregate(F.zip_with("x", e["sums"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

@@ -89,11 +89,13 @@ def knn_join(
     sim = 1 - F.col("distance") * F.col("distance") / 2 if metric == "cosine" else F.lit(None).cast("double")
     pairs = pairs.withColumn("similarity", sim)
     if keep_undirected:
-        first = base.select(F.col("id").alias("neighbour")).orderBy("neighbour").limit(k)
+        first = [F.lit(r["id"]) for r in base.select("id").orderBy("id").limit(k).collect()]
         flat = queries.select("id").join(q_all.select("id"), "id", "left_anti")
-        pairs = pairs.unionByName(
-            flat.join(F.broadcast(first)).select("id", "neighbour", F.lit(None).cast("double").alias("distance"), F.lit(0.0).alias("similarity"))
-        )
+        if first:
+            pairs = pairs.unionByName(
+                flat.select("id", F.explode(F.array(*first)).cast(base.schema["id"].dataType).alias("neighbour"),
+                            F.lit(None).cast("double").alias("distance"), F.lit(0.0).alias("similarity"))
+            )
     return pairs.select("id", "neighbour", "distance", "similarity")
 
 

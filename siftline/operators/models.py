@@ -21,6 +21,7 @@ from siftline.operators import features as FX
 from siftline.operators.knn import knn_join
 from siftline.operators.ranking import sample_exact
 
+MAX_CLASSES = 1000
 MODELS = ("rf", "gbc", "lr", "knn", "svm")
 LEADERBOARD = (
     "seq int, model string, score double, accuracy double, precision double, recall double, f1_score double, r2 double,"
@@ -125,7 +126,9 @@ def prepare(
     labels: list[str] = []
     label = f"CAST({_name(target)} AS DOUBLE)"
     if task == "classification":
-        seen = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).collect()]
+        seen = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(MAX_CLASSES + 1).collect()]
+        if len(seen) > MAX_CLASSES:
+            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
         labels = [str(v) for v in seen]
         label = "CASE " + " ".join(f"WHEN {_name(target)} = {_lit(v) if isinstance(v, str) else v} THEN {i}.0D" for i, v in enumerate(seen)) + " END"
     names = list(exprs)

@@ -126,21 +126,25 @@ def gate_funnel(runs: DataFrame) -> DataFrame:
     decisions = F.col("stages.ml_decision.decisions")
     none = F.coalesce(F.size(decisions), F.lit(0)) <= 0
     direct = none & F.col("success") & F.col("stages.training").isNotNull()
-    tops = runs.agg(
+
+    def passed(d: Column) -> Column:
+        return F.coalesce(d["decision"] == "train", F.lit(False))
+
+    def stopped_by(gate: str):
+        return lambda d: ~passed(d) & (rejecting_gate(d) == gate)
+
+    def number(test) -> Column:
+        return F.sum(F.when(~none, F.size(F.filter(decisions, test))).otherwise(0))
+
+    c = runs.agg(
         F.sum(F.coalesce("total_problems_evaluated", F.lit(0)) + F.when(direct, 1).otherwise(0)).alias("evaluated"),
-        F.count_if(direct).alias("direct_approved"),
-    )
-    each = runs.select(F.explode(decisions).alias("d"))
-    ok = F.col("d.decision") == "train"
-    gate = F.when(~F.coalesce(ok, F.lit(False)), rejecting_gate(F.col("d")))
-    counts = each.agg(
-        F.count_if(ok).alias("approved"), *[F.count_if(gate == g).alias(g) for g in ("intent", "feasibility", "causal")]
+        (number(passed) + F.count_if(direct)).alias("approved"),
+        *[number(stopped_by(g)).alias(g) for g in ("intent", "feasibility", "causal")],
     )
     v2 = F.col("evaluated") - F.col("intent")
-    return tops.join(counts).select(  # one row each
-        F.col("evaluated").alias("evaluated"), v2.alias("intent_valid"), (v2 - F.col("feasibility")).alias("feasible"),
-        (v2 - F.col("feasibility") - F.col("causal")).alias("causal_valid"),
-        (F.col("approved") + F.col("direct_approved")).alias("approved"),
+    return c.select(
+        "evaluated", v2.alias("intent_valid"), (v2 - F.col("feasibility")).alias("feasible"),
+        (v2 - F.col("feasibility") - F.col("causal")).alias("causal_valid"), "approved",
     )
 
 
