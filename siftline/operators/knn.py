@@ -11,8 +11,11 @@ No pair of rows is ever emitted, and no group grows with the data.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,9 @@ from pyspark.sql import types as T
 from siftline.operators.ranking import first_per_group
 from siftline.session import cut
 
+# Helpers travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 64
 BLOCK = 4096
 SLACK = 1e-9
@@ -93,7 +99,7 @@ def knn_join(
         flat = queries.select("id").join(q_all.select("id"), "id", "left_anti")
         if first:
             pairs = pairs.unionByName(
-                flat.select("id", F.explode(F.array(*first)).cast(base.schema["id"].dataType).alias("neighbour"),
+                flat.select("id", F.explode(F.array(*first).cast(T.ArrayType(base.schema["id"].dataType))).alias("neighbour"),
                             F.lit(None).cast("double").alias("distance"), F.lit(0.0).alias("similarity"))
             )
     return pairs.select("id", "neighbour", "distance", "similarity")
