@@ -176,7 +176,7 @@ def match(
     else:
         top = _match_text(problems, catalog, threshold, k, tuple(terms), problem, dataset, problem_column, dataset_column)
     return _threshold_or_best(top, threshold, k).select(
-        F.col("p").alias(problem), F.col("d").alias(dataset), F.col("sim").alias("similarity"), "rank"
+        F.col("p").alias(problem), F.col("d").alias(dataset), F.col("sim").alias("similarity"), F.col("rank").cast("long").alias("rank")
     )
 
 
