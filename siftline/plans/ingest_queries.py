@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.functions import text as X
 from siftline.functions import vocab as V
 from siftline.operators import ingest as I
 from siftline.operators import ranking as R
