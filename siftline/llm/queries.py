@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm import token_output, warc
+from siftline.llm import decontaminate, language_id, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
 from siftline.plans.registry import registry
 from siftline.session import load, scratch
 
@@ -21,6 +21,53 @@ def op1_token_output(spark, sf_dir):
     return token_output.read_tokens(spark, folder, digest=True)
 
 
+@query("op3_secret_scans")
+def op3_secret_scans(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), words=3, hundredths=85)
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    found = decontaminate.find_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("row_hash")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
+
+
+@query("op8_sharding")
+def op8_sharding(spark, sf_dir):
+    out = sharding.write_shards(load(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return out.select(
+        "doc_id", F.coalesce(F.octet_length("text") + 1, F.lit(1)).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op9_mixing")
+def op9_mixing(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_tokens"))
+    planned = mixing.plan(docs, "whole", entropy=0.9, tokens=F.col("n_tokens"))
+    return mixing.blocks(mixing.apply(docs, planned), planned, block_tokens=1_000_000)
+
+
 @query(
     "op10_warc",
     """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),

@@ -20,10 +20,12 @@ are not read.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from siftline.llm.common import filesystem, prefix_sums, task_count, text_bytes,
 travels(__name__)
 
 PART_BYTES = 24 << 20
-PIECES_KEPT = 400_000
+PIECES_KEPT = 1_000_000
 PIECES_AT_ONCE = 200_000
 TEXTS_AT_ONCE = 1 << 20
 
@@ -46,6 +48,17 @@ PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_null long, n_tokens long, width int"
 
 
+class Overlay(dict):
+    """A dict that falls back to another."""
+
+    def __init__(self, own: dict, base: dict):
+        super().__init__(own)
+        self.base = base
+
+    def __missing__(self, key):
+        return self.base[key]
+
+
 class PieceEncoder:
     """Encodes by the pieces of the tokenizer's pre-tokenizer and remembers the ids of pieces.
 
@@ -71,16 +84,21 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        fresh = [p for p in set(pieces) if p not in self.known]
-        if len(self.known) + len(fresh) > PIECES_KEPT:
-            self.known.clear()
-            fresh = list(set(pieces))
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _coded(self, lists: list[list[str]]) -> list[bytes]:
+        """The packed ids of each list of pieces."""
+        fresh = list(set(chain.from_iterable(lists)).difference(self.known))
         done = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((p, self.packed(e.ids)) for p, e in zip(fresh, done))
-        return self.known
+        known, new = self.known, {p: self.packed(e.ids) for p, e in zip(fresh, done)}
+        if len(known) + len(new) <= PIECES_KEPT:
+            known.update(new)
+        elif new:  # the pieces met first, which are the frequent ones, stay known
+            known = Overlay(new, known)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
@@ -93,13 +111,12 @@ class PieceEncoder:
             elif len(t) > TEXTS_AT_ONCE:
                 found, parts = (m[0] for m in self.split.finditer(t)), []
                 while some := list(islice(found, PIECES_AT_ONCE)):
-                    parts.append(b"".join(map(self._learn(some).__getitem__, some)))
+                    parts += self._coded([some])
                 out[i] = b"".join(parts)
             else:
                 short.append((i, self.split.findall(t)))
-        known = self._learn([p for _, pieces in short for p in pieces])
-        for i, pieces in short:
-            out[i] = b"".join(map(known.__getitem__, pieces))
+        for (i, _), coded in zip(short, self._coded([pieces for _, pieces in short])):
+            out[i] = coded
         return out
 
 
@@ -133,8 +150,8 @@ def _writer(tokenizer: str, pattern: str | None, end_id: int, folder: str):
         for batch in batches:
             if out is None:
                 out = fs.open_output_stream(f"{root}/ids-{part:06d}-{name}.bin")
-            nulls += int(batch["doc_id"].isna().sum())
-            ids.append(batch["doc_id"].fillna(0).to_numpy(np.int64))
+            nulls += int(batch["is_null"].sum())
+            ids.append(batch["doc_id"].to_numpy(np.int64))
             for texts in _some(batch["text"]):
                 for coded in enc.encode(texts):
                     out.write(coded)
@@ -165,13 +182,15 @@ def write_tokens(
     looked up instead of computed again.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    number = F.col(doc_id).cast("long")
+    rows = docs.select(number.isNull().alias("is_null"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
+    order = [F.col("is_null").desc(), F.col("doc_id")]
     parts = task_count(spark, text_bytes(rows, "text"), PART_BYTES)
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     written = (
-        rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        rows.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order, F.col("text").asc_nulls_first())
         .mapInPandas(_writer(tokenizer, pattern, end_id, folder), MANIFEST)
     )
     written.write.parquet(f"{folder}/parts")
@@ -225,8 +244,8 @@ def _reader(folder: str, digest: bool):
 
 
 def _frame(rows: list, digest: bool) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
-    return out.astype({"doc_id": "Int64"})
+    docs, starts, lengths, last = zip(*rows)
+    return pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": starts, "n_tokens": lengths, "ids_crc32" if digest else "ids": last})
 
 
 def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:

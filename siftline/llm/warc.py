@@ -49,7 +49,7 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def with_responses(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Pages with the payload's digest and, for copies, the page they refer to."""
+    """Pages with the payload's digest and, for copies, the page they refer to; ids as text."""
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2("html", 256))
@@ -62,7 +62,8 @@ def with_responses(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         groups = F.broadcast(groups)
     differs = ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return keyed.join(groups, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(differs, F.col("first_id")).alias("refers_to"),
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest",
+        F.when(differs, F.col("first_id")).cast("string").alias("refers_to"),
     )
 
 
@@ -94,7 +95,7 @@ def _packer(folder: str):
                 package = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                 data = package.open(DATA, "w", force_zip64=True)
             for page, url, html, digest, refers in batch.itertuples(index=False):
-                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
+                page, refers = (None if x is None else int(x) for x in (page, refers))
                 packed = gzip.compress(_record(page, url, html.encode(), digest, refers), 6, mtime=0)
                 data.write(packed)
                 lines.append(json.dumps({"page": page, "offset": place, "length": len(packed)}))
@@ -217,7 +218,9 @@ def _record_reader(folder: str, with_html: bool):
                 with fs.open_input_file(f"{root}/{package}") as f:
                     block = f.read_at(end - begin, begin)
                 rows = [_record_row(*x, with_html) for x in records_in(block)]
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                # Ids as nullable integers from the start: large ones would lose digits as floats.
+                columns = dict(zip(names, zip(*rows)))
+                yield pd.DataFrame({k: pd.array(v, "Int64") if k in ("page_id", "refers_to") else v for k, v in columns.items()})
 
     return read
 
