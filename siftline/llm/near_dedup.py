@@ -6,12 +6,14 @@
 2. Texts with equal sets are one class. Only one text of a class goes on.
 3. ``rows`` MinHash values make a band. The number of bands is chosen so that a pair at the threshold
    shares none with probability ``MISS`` (1e-7) at most.
-4. In each band's bucket every class is compared with the bucket's smallest class only, never all with
-   all. Pairs are weeded by set size and odd sketch (six standard deviations below the threshold) and
-   confirmed by exact Jaccard of full sets, recomputed from the texts.
-5. Buckets that the confirmed links do not connect are then compared across their components: what
-   belongs to the largest component with all the rest. So no link between components is lost, and a
-   large group that is one component costs no pairs.
+4. In each band's bucket every class is compared with the bucket's first class (by doc_id) only, never
+   all with all. Pairs are weeded by set size and odd sketch (six standard deviations below the
+   threshold) and confirmed by exact Jaccard of full sets, recomputed from the texts.
+5. All classes that met one first class form its company. Where the confirmed links leave a company in
+   more than one component, all but its largest component are compared exactly with the whole
+   company, in blocks of bounded size, by a product of incidence matrices; a block returns no more
+   links than join its components. So no link between components is lost, no pair is emitted that is
+   not a link, and a company that is one component costs nothing.
 6. Connected components give every row the smallest doc_id reachable.
 
 Edge cases: null or blank texts have no set and link with nothing; a text shorter than k words is one
@@ -41,6 +43,9 @@ MISS = 1e-7
 SKETCH_LONGS = 8
 SHINGLES_AT_ONCE = 1 << 14
 SETS_KEPT = 64
+SLAB = 2048
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 400_000
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -119,6 +124,59 @@ def _verifier(words: int, hundredths: int):
     return verify
 
 
+def _incidence_product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets on the left with those on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        at = np.searchsorted(shared, values)
+        known = (at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == values) if len(shared) else np.zeros(len(values), bool)
+        return row[known], at[known]
+
+    (li, lj), (ri, rj) = places(left), places(right)
+    for begin in range(0, len(shared), SLAB):
+        slabs = []
+        for n, i, j in ((len(left), li, lj), (len(right), ri, rj)):
+            inside = (j >= begin) & (j < begin + SLAB)
+            slab = np.zeros((n, SLAB), np.float32)
+            slab[i[inside], j[inside] - begin] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[1].T
+    return out
+
+
+def _block_links(words: int, hundredths: int):
+    """Links across components between the two sides of a block, as few as connect what is linked."""
+
+    def find(block: pd.DataFrame) -> pd.DataFrame:
+        minor, whole = block[block["minor"]], block[~block["minor"]]
+        out, joined = [], {}
+
+        def root(x: bytes) -> bytes:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        if len(minor) and len(whole):
+            left, right = ([shingle_set(t, words) for t in side["text"]] for side in (minor, whole))
+            both = _incidence_product(left, right)
+            sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+            code = {r: i for i, r in enumerate(set(block["root"]))}
+            apart = minor["root"].map(code).to_numpy()[:, None] != whole["root"].map(code).to_numpy()[None, :]
+            a, b, ra, rb = (side[c].tolist() for c in ("node", "root") for side in (minor, whole))
+            for i, j in zip(*(apart & (100 * both >= hundredths * (sizes - both))).nonzero()):
+                x, y = root(ra[i]), root(rb[j])
+                if x != y:
+                    joined[x] = y
+                    out.append((a[i], b[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return find
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, hundredths: int, samples: int) -> DataFrame:
     """Pairs whose sizes and odd sketches allow the threshold."""
     for side in ("a", "b"):
@@ -163,36 +221,29 @@ def near_duplicates(
     classes = table.where("node IS NOT NULL").groupBy("node").agg(first.alias("f")).select("node", "f.*")
     classes = materialise(classes.select("node", "doc_id", "text_md5", "n_shingles", "bands", "odd"), "classes")
 
-    band = classes.select("node", F.explode("bands").alias("key"))
-    leaders = band.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(band.join(leaders.drop("size"), "key"), "buckets")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return materialise(_alike(pairs.distinct(), classes, hundredths, bands * rows), "candidates")
+    band = classes.select("node", "doc_id", F.explode("bands").alias("key"))
+    earliest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
+    leaders = band.groupBy("key").agg(earliest.alias("leader"), F.count("*").alias("size")).where("size > 1")
+    met = band.select("node", "key").join(leaders.select("key", "leader"), "key").where("node <> leader")
+    met = materialise(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "company")
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_md5").alias("m"))
+    def with_texts(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_md5").alias("m"))
         named = source.withColumn("m", F.md5("text")).join(wanted, ["m"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
         return materialise(named.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    star = candidates(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    links = materialise(_confirmed(star, with_texts(star), words, hundredths), "links")
+    star = materialise(_alike(met, classes, hundredths, bands * rows), "candidates")
+    texts = with_texts(star.select(F.explode(F.array("a", "b")).alias("node")))
+    links = materialise(_confirmed(star, texts, words, hundredths), "links")
     roots = components(links, "a", "b")
 
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    # The leader has met all of its bucket already.
-    placed = materialise(placed.join(mixed, "key", "left_semi").where("node <> leader").select("key", "node", "root"), "mixed")
-    main = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"))
-    minor = placed.join(main.select("key", F.col("m.root").alias("main")), "key").where("root <> main")
-    across = minor.select("key", F.col("node").alias("x"), F.col("root").alias("rx")).join(
-        placed.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key"
-    ).where("rx <> ry")
-    rest = candidates(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    if not rest.isEmpty():
-        more = materialise(_confirmed(rest, with_texts(rest), words, hundredths), "links")
-        roots = components(links.unionByName(more), "a", "b")
+    placed = met.join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
+    mixed = placed.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("a")
+    placed = placed.join(mixed, "a", "left_semi").join(classes.select("node", F.col("n_shingles").alias("n")), "node")
+    placed = materialise(placed, "mixed")
+    if not placed.isEmpty():
+        links = links.unionByName(_across(placed, with_texts(placed.select("node")), words, hundredths))
+        roots = components(links, "a", "b")
 
     rooted = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -203,6 +254,32 @@ def near_duplicates(
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _across(placed: DataFrame, texts: DataFrame, words: int, hundredths: int) -> DataFrame:
+    """Links between the components of each company ``a``, from rows (a, node, root, n)."""
+    size = (F.count("*").alias("c"), F.sum("n").alias("n"))
+    per = placed.groupBy("a", "root").agg(*size)
+    whole = per.groupBy("a").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "n", "root")).alias("most"))
+
+    def blocks(c, n):
+        return F.ceil(F.greatest(c / F.lit(float(BLOCK_ROWS)), n / F.lit(float(BLOCK_SHINGLES)), F.lit(1.0))).cast("int")
+
+    plan = whole.select(
+        "a", F.col("most.root").alias("main"), blocks(F.col("c"), F.col("n")).alias("wide"),
+        blocks(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n")).alias("high"),
+    )
+    rows = placed.join(plan, "a")
+    own_high, own_wide = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(k)).cast("int") for k in ("high", "wide"))
+    minor = rows.where("root <> main").select(
+        "a", "node", "root", F.lit(True).alias("minor"), own_high.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j")
+    )
+    every = rows.select(
+        "a", "node", "root", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), own_wide.alias("j")
+    )
+    block = minor.unionByName(every).join(texts, "node").select("a", "i", "j", "node", "root", "minor", "text")
+    found = block.groupBy("a", "i", "j").applyInPandas(_block_links(words, hundredths), "a binary, b binary")
+    return materialise(found, "links")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, hundredths: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, one of each group; same columns."""
     kept = near_duplicates(docs, words, hundredths, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
