@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm import decontaminate, language_id, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
+from siftline.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
 from siftline.plans.registry import registry
 from siftline.session import load, scratch
 
@@ -21,6 +21,11 @@ def op1_token_output(spark, sf_dir):
     return token_output.read_tokens(spark, folder, digest=True)
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(load(spark, sf_dir, "documents"))
+
+
 @query("op3_secret_scans")
 def op3_secret_scans(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
