@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +45,11 @@ def once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_of(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -113,7 +118,8 @@ def context_of(text: Col, regexes: Sequence[str], width: int = 50) -> Column:
         start = F.greatest(before - width, F.lit(0))
         return F.when(text.rlike("(?i)" + regex), trimmed(F.substring(text, start + 1, end - start)))
 
-    return F.coalesce(*[around(r) for r in regexes])
+    # Most texts match none of the patterns; one look for any of them spares the rest.
+    return F.when(any_pattern(text, regexes), F.coalesce(*[around(r) for r in regexes]))
 
 
 def tokens(text: Col) -> Column:
@@ -164,18 +170,21 @@ def next_words(
     default: Sequence[str] = ("features", "data"),
 ) -> Column:
     """The word after each marker word."""
-    words = tokens(F.lower(blank(text)))
-    found = F.filter(
-        F.zip_with(
-            words,
-            F.slice(words, F.lit(2), F.size(words)),
-            lambda w, nxt: F.when(w.isin(*markers), F.substring(nxt, 1, width)),
-        ),
-        lambda w: w.isNotNull(),
-    )
-    return F.when(F.size(found) > 0, F.slice(found, 1, n)).otherwise(
-        F.array(*[F.lit(d) for d in default])
-    )
+
+    def after(words: Column) -> Column:
+        return F.filter(
+            F.zip_with(
+                words,
+                F.slice(words, F.lit(2), F.size(words)),
+                lambda w, nxt: F.when(w.isin(*markers), F.substring(nxt, 1, width)),
+            ),
+            lambda w: w.isNotNull(),
+        )
+
+    def or_default(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.slice(found, 1, n)).otherwise(F.array(*[F.lit(d) for d in default]))
+
+    return bound(bound(tokens(F.lower(blank(text))), after), or_default)
 
 
 def is_question(title: Col) -> Column:
@@ -286,6 +295,7 @@ def enhanced_statement(target: Col, features: Col, use: Col | None = None) -> Co
     return F.concat(text, F.lit(" for "), F.coalesce(as_col(use), F.lit("business decision support")))
 
 
-def text_hash(title: Col, description: Col, prefix: int = 200) -> Column:
-    """md5 of the title and the head of the description."""
-    return F.md5(F.concat(blank(title), F.substring(blank(description), 1, prefix)))
+def text_hash(title: Col, description: Col, prefix: int | None = None) -> Column:
+    """md5 of the title and the description, or of its first ``prefix`` characters."""
+    text = blank(description) if prefix is None else F.substring(blank(description), 1, prefix)
+    return F.md5(F.concat(blank(title), text))

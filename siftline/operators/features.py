@@ -303,6 +303,22 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 7, out: str = "fold")
     return df.withColumn(out, (h % k).cast("int"))
 
 
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 7, out: str = "fold") -> DataFrame:
+    """Folds that hold each class in equal shares, to one row.
+
+    Rows of a class are dealt out in hash order. Their places come from counts per class and
+    leading hash digits, so no class is ordered as a whole.
+    """
+    numbered = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 4))
+    counts = numbered.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c"))
+    dealt = numbered.withColumn("_p", place).join(counts, same).withColumn(out, ((F.col("_at") + F.col("_p") - 1) % k).cast("int"))
+    return dealt.drop("_h", "_b", "_l", "_c", "_at", "_p")
+
+
 def smote(df: DataFrame, key: str, label: str, vector: str = "vec", k: int = 5, seed: int = 42) -> DataFrame:
     """(label, vec, synthetic): every class grown to the size of the largest.
 

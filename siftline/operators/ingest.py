@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions import text as X
 from siftline.functions import vocab as V
@@ -23,9 +24,9 @@ def hash_dedup(
     title: str = "title",
     description: str = "description",
     order: Sequence[str] = ("seq",),
-    prefix: int = 200,
+    prefix: int | None = None,
 ) -> DataFrame:
-    """Keep the first of the posts that share title and head of description."""
+    """Keep the first of the posts that share title and description, or its first ``prefix`` characters."""
     hashed = df.withColumn("_hash", X.text_hash(title, description, prefix))
     return first_per_group(hashed, ["_hash"], order).drop("_hash")
 
@@ -51,7 +52,7 @@ def source_order(descending: bool = False) -> list[Column]:
     return [first.asc()] + [k.desc() if descending else k.asc() for k in keys]
 
 
-def rank_problems(df: DataFrame, n: int | None = 10, descending: bool = False,
+def rank_problems(df: DataFrame, n: int | None = None, descending: bool = False,
                   tie: Sequence[str] = ("seq",)) -> DataFrame:
     ordered = df.orderBy(*source_order(descending), *tie)
     return ordered if n is None else ordered.limit(n)
@@ -110,7 +111,7 @@ def mentions_ml(text: X.Col, include: Sequence[str] = V.ISSUE_ML) -> Column:
 # -- catalogs ---------------------------------------------------------------
 
 
-def catalog_reject_reasons(min_size: int = 100, max_size: int = 1_000_000) -> Column:
+def catalog_reject_reasons(min_size: int | None = None, max_size: int | None = None) -> Column:
     """Why an entry is refused; empty when it is kept."""
     title, desc, ident = X.filled("title"), X.filled("description"), X.filled("id")
     size = F.coalesce("size", F.lit(0))
@@ -118,7 +119,7 @@ def catalog_reject_reasons(min_size: int = 100, max_size: int = 1_000_000) -> Co
         F.array(
             F.when(desc.isNull() & title.isNull(), "no description and no title"),
             F.when(
-                (size > 0) & ((size < min_size) | (size > max_size)),
+                (size > 0) & ((size < F.lit(min_size or 0)) | (size > F.lit(2**63 - 1 if max_size is None else max_size))),
                 F.concat(F.lit("size "), size.cast("string"), F.lit(" out of range")),
             ),
             F.when(title.isNull() & ident.isNull(), "no title or id"),
@@ -131,7 +132,7 @@ def catalog_score() -> Column:
     return F.coalesce("usability_rating", F.lit(0.0)) * 0.7 + downloads * 0.3
 
 
-def filter_catalog(df: DataFrame, min_size: int = 100, max_size: int = 1_000_000) -> DataFrame:
+def filter_catalog(df: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """Drop unusable entries and fill empty descriptions."""
     kept = df.where(F.size(catalog_reject_reasons(min_size, max_size)) == 0)
     default = F.concat(
@@ -141,7 +142,7 @@ def filter_catalog(df: DataFrame, min_size: int = 100, max_size: int = 1_000_000
     return kept.withColumn("description", F.coalesce(X.filled("description"), default))
 
 
-def filter_rank_catalog(df: DataFrame, min_size: int = 100, max_size: int = 1_000_000,
+def filter_rank_catalog(df: DataFrame, min_size: int | None = None, max_size: int | None = None,
                         tie: Sequence[str] = ("seq",)) -> DataFrame:
     """Usable entries, best score first."""
     scored = filter_catalog(df, min_size, max_size).withColumn("score", catalog_score())
@@ -168,6 +169,9 @@ def first_usable(matches: DataFrame, available: DataFrame, key: str = "problem_i
     return first_per_group(usable, [key], order)
 
 
+MOST_UNASKED = 1000
+
+
 def _pieces(word: Column) -> Column:
     """All substrings of a (short) keyword."""
     n = F.length(word)
@@ -187,7 +191,9 @@ def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "quer
     """Catalog entries by number of query keywords that contain, or lie in, one of theirs.
 
     "One lies in the other" is an equality between one keyword and a piece of the
-    other, so both directions are hash joins on distinct keywords.
+    other, so both directions are hash joins on distinct keywords. A query without
+    keywords asks for nothing in particular and gets every entry with score 0; such
+    queries are few, and more than ``MOST_UNASKED`` of them are refused.
     """
     asked = queries.select(query_id, F.explode(F.transform(keywords, F.lower)).alias("kw"))
     listed = catalog.select(entry_id, F.explode(F.array_distinct(entry_keywords)).alias("dk"))
@@ -197,7 +203,14 @@ def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "quer
     pairs = inside.unionByName(around).distinct()
     hits = pairs.join(listed, "dk").select("kw", entry_id).distinct()
     counted = asked.groupBy(query_id, "kw").agg(F.count("*").alias("_n"))
-    return counted.join(hits, "kw").groupBy(query_id, entry_id).agg(F.sum("_n").alias("score"))
+    scored = counted.join(hits, "kw").groupBy(query_id, entry_id).agg(F.sum("_n").alias("score"))
+    blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct().limit(MOST_UNASKED + 1).collect()
+    if len(blank) > MOST_UNASKED:
+        raise ValueError(f"more than {MOST_UNASKED} queries without keywords")
+    if not blank:
+        return scored
+    ids = F.array(*[F.lit(r[0]) for r in blank]).cast(T.ArrayType(queries.schema[query_id].dataType))
+    return scored.unionByName(catalog.select(F.explode(ids).alias(query_id), entry_id).distinct().withColumn("score", F.lit(0).cast("long")))
 
 
 def joined_keyword_text(keywords: X.Col) -> Column:

@@ -13,13 +13,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import evaluate as E
 from siftline.operators import features as FX
 from siftline.operators.knn import knn_join
 from siftline.operators.ranking import sample_exact
+from siftline.session import cut
 
 MAX_CLASSES = 1000
 MODELS = ("rf", "gbc", "lr", "knn", "svm")
@@ -48,13 +49,14 @@ def clusters_for(n: int) -> int:
     return min(10, max(2, n // 10))
 
 
-def folds_for(n: int) -> int:
-    return 3 if n > 20_000 else 5
+def folds_for(n: int, fewer_above: int | None = None) -> int:
+    """5 folds, or 3 for tables of more than ``fewer_above`` rows."""
+    return 3 if fewer_above is not None and n > fewer_above else 5
 
 
-def models_for(n: int, models: Sequence[str] = MODELS, limit: int = 100_000) -> list[str]:
-    """Slow models are left out of very large sweeps."""
-    return [m for m in models if n <= limit or m in ("lr", "knn", "xgb", "lgbm")]
+def models_for(n: int, models: Sequence[str] = MODELS, limit: int | None = None) -> list[str]:
+    """All models; with a ``limit``, slow ones are left out of sweeps over more rows."""
+    return [m for m in models if limit is None or n <= limit or m in ("lr", "knn", "xgb", "lgbm")]
 
 
 # -- preparation ------------------------------------------------------------
@@ -98,13 +100,17 @@ class Prepared:
 
 def prepare(
     df: DataFrame, target: str, task: str, key: str, test_size: float = 0.2, seed: int = 42,
-    max_categories: int = 50, ordinal_above: int = 10_000, max_features: int = 50,
+    max_categories: int = 50, encoding: str = "onehot", max_features: int = 50,
 ) -> Prepared:
-    """Cap and encode categories, split, then fit gaps, selection and scale on the train rows."""
+    """Cap and encode categories, split, then fit gaps, selection and scale on the train rows.
+
+    ``encoding`` is "onehot" or "ordinal", for tables of any size.
+    """
+    if encoding not in ("onehot", "ordinal"):
+        raise ValueError(f"unknown encoding {encoding!r}")
     feats = [c for c in df.columns if c not in (target, key)]
     nums = [c for c in FX.numeric_columns(df) if c in feats]
     txts = [c for c in FX.text_columns(df) if c in feats]
-    n = df.count()
 
     kept = FX.top_categories(df, txts, max_categories)
     capped = FX.cap_categories(df, kept)
@@ -113,7 +119,7 @@ def prepare(
         value = {c: _name(c) for c in txts}
         for c, vals in kept.items():
             value[c] = f"CASE WHEN {_name(c)} IN ({', '.join(_lit(v) for v in vals)}) THEN {_name(c)} ELSE 'other' END"
-        if n > ordinal_above:
+        if encoding == "ordinal":
             for r in FX.category_codes(capped, txts).orderBy("column", "code").collect():
                 part = f" WHEN {_lit(r['value'])} THEN {r['code']}.0D"
                 exprs[r["column"]] = exprs.get(r["column"], f"CASE coalesce({value[r['column']]}, 'nan')") + part
@@ -150,12 +156,15 @@ def prepare(
     return Prepared(rows, key, task, final, labels)
 
 
-def balanced(prep: Prepared, trigger: float = 2.0, max_rows: int = 50_000, k: int = 5, seed: int = 42) -> DataFrame:
-    """Train rows (label, vec), grown by SMOTE when the classes are uneven, then capped."""
+def balanced(prep: Prepared, trigger: float = 2.0, max_rows: int | None = None, k: int = 5, seed: int = 42) -> DataFrame:
+    """Train rows (label, vec), grown by SMOTE when the classes are uneven; a sample of ``max_rows`` where that is given."""
     train = prep.train
     if FX.class_balance(train, "label").first()["ratio"] <= trigger:
         return train.select("label", "vec")
-    grown = FX.smote(train, prep.key, "label", "vec", k, seed).withColumn("_k", F.xxhash64("label", "vec"))
+    grown = FX.smote(train, prep.key, "label", "vec", k, seed)
+    if max_rows is None:
+        return grown.select("label", "vec")
+    grown = grown.withColumn("_k", F.xxhash64("label", "vec"))
     return sample_exact(grown, "_k", max_rows, seed).select("label", "vec")
 
 
@@ -186,20 +195,31 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int, task: str = "classifi
 
 
 class KnnModel:
-    """Keeps the train rows; same ``transform`` as the fitted models."""
+    """Keeps the train rows, repeated ones too; same ``transform`` as the fitted models.
+
+    Rows are numbered once and written to the shared folder, so their numbers stay. Equal vectors
+    to predict share one lookup, under a digest of all their values.
+    """
 
     def __init__(self, train: DataFrame, k: int, task: str):
-        self.train = train.select(F.xxhash64("label", "vec").alias("id"), "label", "vec").dropDuplicates(["id"]).cache()
+        self.train = cut(train.select(F.monotonically_increasing_id().alias("id"), "label", "vec"))
         self.k, self.task = k, task
 
     def transform(self, df: DataFrame) -> DataFrame:
-        arr = df.withColumn("_vec", vector_to_array("features")).withColumn("_row", F.xxhash64("_vec"))
+        arr = df.withColumn("_vec", vector_to_array("features")).withColumn("_row", F.sha2(F.to_json(F.struct("_vec")), 256))
         asked = arr.select(F.col("_row").alias("id"), F.col("_vec").alias("vec")).dropDuplicates(["id"])
         pred = knn_predict(self.train, asked, self.k, self.task)
         return arr.join(pred.withColumnRenamed("id", "_row"), "_row").drop("_vec", "_row")
 
     def save(self, path: str) -> None:
-        self.train.withColumn("k", F.lit(self.k)).write.mode("overwrite").parquet(path)
+        self.train.withColumns({"k": F.lit(self.k), "task": F.lit(self.task)}).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KnnModel:
+        rows = spark.read.parquet(path)
+        head, model = rows.select("k", "task").first(), cls.__new__(cls)
+        model.train, model.k, model.task = rows.drop("k", "task"), head.k, head.task
+        return model
 
 
 def estimator(code: str, task: str, n: int, classes: int, seed: int = 42, **over):
@@ -245,7 +265,8 @@ def score_of(preds: DataFrame, task: str) -> dict[str, float | None]:
 
 def cross_validate(code: str, rows: DataFrame, task: str, classes: int, n: int, k: int, seed: int = 42, **over) -> tuple[float, float]:
     """Mean and population deviation of the score over ``k`` folds of (label, vec) rows."""
-    folded = FX.folds(rows.withColumn("_k", F.xxhash64("label", "vec")), "_k", k)
+    keyed = rows.withColumn("_k", F.xxhash64("label", "vec"))
+    folded = FX.folds(keyed, "_k", k) if task == "regression" else FX.stratified_folds(keyed, "_k", "label", k)
     preds = reduce(
         DataFrame.unionByName,
         [
@@ -283,6 +304,13 @@ class Trained:
         return decode(self.model.transform(ready), self.prepared.labels)
 
 
+@dataclass
+class Clustered:
+    rows: DataFrame
+    metrics: DataFrame
+    model: object
+
+
 def decode(scored: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
     """Add the class text and, where the model gives one, probability array and confidence."""
     out = scored
@@ -303,10 +331,10 @@ def train(
     df: DataFrame, task: str, target: str | None = None, key: str = "id", models: Sequence[str] = MODELS,
     cv: int | None = None, ensembles: bool = True, good: float = 0.85, goal: float = 0.90, seed: int = 42,
     options: dict[str, dict] | None = None,
-) -> Trained | DataFrame:
+) -> Trained | Clustered | DataFrame:
     """Detect the target, prepare, fit and compare all models, combine the good ones.
 
-    Returns a ``Trained``; a table that cannot be trained on gives a one-row (error) frame.
+    A clustering has no target and gives a ``Clustered`` over all columns but the key. Returns a ``Trained``; a table that cannot be trained on gives a one-row (error) frame.
     """
     spark = df.sparkSession
 
@@ -315,6 +343,8 @@ def train(
 
     if df.isEmpty():
         return failed("Dataset is empty")
+    if task == "clustering":
+        return Clustered(*cluster(df, [c for c in df.columns if c != key], seed=seed))
     target = target or FX.detect_target(df.drop(key), task)
     if target is None:
         return failed("Could not detect target column")
@@ -408,7 +438,7 @@ class Stacking:
 
     @classmethod
     def fit(cls, codes: Sequence[str], rows: DataFrame, classes: int, n: int, seed: int, options: dict, k: int = 3) -> Stacking:
-        base = FX.folds(_vectors(rows).withColumn("_row", F.xxhash64("vec")), "_row", k)
+        base = FX.stratified_folds(_vectors(rows).withColumn("_row", F.xxhash64("vec")), "_row", "label", k)
         parts = []
         for f in range(k):
             models = [fit_one(c, base.where(F.col("fold") != f).select("label", "vec"), "classification", classes, n, seed, **options.get(c, {})) for c in codes]
@@ -443,13 +473,22 @@ def evaluate_saved(path: str, df: DataFrame, prepared_rows: DataFrame, key: str,
 
 
 def cluster(df: DataFrame, columns: Sequence[str], k: int | None = None, restarts: int = 10, seed: int = 42,
-            max_iter: int = 300, exact_below: int = 20_000) -> tuple[DataFrame, DataFrame, object]:
+            max_iter: int = 300, silhouette: str = "squared_euclidean") -> tuple[DataFrame, DataFrame, object]:
     """(rows with prediction, metrics, model): standardised k-means, best of several starts.
 
-    Gaps take the column mean. The silhouette is Euclidean for tables below ``exact_below``
-    rows and squared Euclidean, which is linear in the rows, above; the metrics row says which.
+    Gaps take the column mean; text columns become 0/1 columns of all levels but the first.
+    ``silhouette`` is "squared_euclidean", which is linear in the rows, or "euclidean", which is
+    quadratic. The metrics row has the number of clusters that hold rows.
     """
+    if silhouette not in ("squared_euclidean", "euclidean"):
+        raise ValueError(f"unknown silhouette {silhouette!r}")
+    texts = [c for c in FX.text_columns(df) if c in columns]
+    columns = [c for c in columns if c not in texts]
     filled = FX.impute_mean(df, columns)
+    if texts:
+        levels = {f"_{c}_{i}": (c, v) for c, vals in FX.onehot_levels(df, texts).items() for i, v in enumerate(vals)}
+        filled = filled.withColumns({n: F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for n, (c, v) in levels.items()})
+        columns = [*columns, *levels]
     row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns], F.count("*").alias("n")).first()
     vec = F.array(*[(F.col(c).cast("double") - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns])
     rows = _vectors(filled.withColumn("vec", vec)).cache()
@@ -457,7 +496,7 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int | None = None, restart
     fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(restarts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows)
-    kind = "euclidean" if row["n"] < exact_below else "squared_euclidean"
-    sil = E.silhouette(out) if kind == "euclidean" else E.silhouette_squared(out)
-    metrics = sil.select(F.lit(k).alias("n_clusters"), F.col("silhouette").alias("silhouette_score"), F.lit(kind).alias("kind"), "n")
+    found = sum(size > 0 for size in best.summary.clusterSizes)
+    sil = E.silhouette(out) if silhouette == "euclidean" else E.silhouette_squared(out)
+    metrics = sil.select(F.lit(found).alias("n_clusters"), F.col("silhouette").alias("silhouette_score"), F.lit(silhouette).alias("kind"), "n")
     return out.drop("features"), metrics, best

@@ -42,7 +42,9 @@ def read_registry(spark: SparkSession, path: str, kind: str = "problem") -> Data
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -196,15 +198,26 @@ def allowed_runs(runs: DataFrame, checked: DataFrame, ident: str = "id") -> Data
     return runs.join(checked.where("blocked"), ident, "left_anti")
 
 
+def refused_models(registry: DataFrame, runs: DataFrame, limit: int = 2) -> DataFrame:
+    """The runs that ``register_models`` does not take, as their signature has ``limit`` already."""
+    return runs.join(_with_room(registry, runs, limit).select("signature", "seq"), ["signature", "seq"], "left_anti")
+
+
+def _with_room(registry: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    room = runs.join(registry.select("signature", F.col("train_count").alias("_had")), "signature", "left")
+    room = first_per_group(room, ["signature"], ["seq"], limit)
+    room = room.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy("seq"))).where(F.coalesce("_had", F.lit(0)) + F.col("_r") <= limit)
+    return room
+
+
 def register_models(registry: DataFrame, runs: DataFrame, limit: int = 2) -> DataFrame:
     """The registry after the runs: same signature counts up and appends, others are new entries.
 
     ``runs``: seq, signature, problem, dataset, task_type, model_path, metrics, trained_at.
-    A signature trained ``limit`` times takes no more runs, which bounds its lists.
+    A signature trained ``limit`` times takes no more runs, which bounds its lists; those left
+    over are what ``refused_models`` returns.
     """
-    room = runs.join(registry.select("signature", F.col("train_count").alias("_had")), "signature", "left")
-    room = first_per_group(room, ["signature"], ["seq"], limit)
-    room = room.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy("seq"))).where(F.coalesce("_had", F.lit(0)) + F.col("_r") <= limit)
+    room = _with_room(registry, runs, limit)
     new = room.groupBy("signature").agg(
         F.min("seq").alias("_seq"), F.count("*").alias("_n"),
         F.sort_array(F.collect_list(F.struct("seq", "model_path", "metrics", "trained_at"))).alias("_runs"),

@@ -13,10 +13,13 @@ from siftline.functions import vocab as V
 from siftline.schemas import RUN_RESULT
 
 
-def read_runs(spark: SparkSession, folder: str, glob: str = "pipeline_results_*.json") -> DataFrame:
-    """Run results of many files; files that do not parse are left out."""
+def read_runs(spark: SparkSession, folder: str, glob: str = "pipeline_results_*.json", multi_line: bool = False) -> DataFrame:
+    """Run results of many files, a row per line; what does not parse is left out.
+
+    ``multi_line`` reads files that hold one result each, spread over lines.
+    """
     return (
-        spark.read.schema(RUN_RESULT).option("pathGlobFilter", glob).option("multiLine", True)
+        spark.read.schema(RUN_RESULT).option("pathGlobFilter", glob).option("multiLine", multi_line)
         .option("mode", "DROPMALFORMED").json(folder)
     )
 
@@ -62,16 +65,16 @@ def stage_latency(
     return led.select(run, stage, ts, seconds_between(ts, "_end").alias("seconds"))
 
 
-def canonical_stage(name: X.Col) -> Column:
+def canonical_stage(name: X.Col, titles: dict[str, str] = V.STAGE_NAMES) -> Column:
     """Reported name of a stage title; any other title with 'feasibility' in it is that stage."""
-    table = F.create_map(*[F.lit(x) for kv in V.STAGE_NAMES.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
     known = table[X.as_col(name)]
     known = F.when(known.isin(*V.LATENCY_STAGES), known)
     return F.coalesce(known, F.when(F.lower(X.as_col(name)).contains("feasibility"), "feasibility"))
 
 
-def mean_latency(latencies: DataFrame, stage: str = "stage") -> DataFrame:
-    named = latencies.withColumn("canonical", canonical_stage(stage)).where("canonical is not null")
+def mean_latency(latencies: DataFrame, stage: str = "stage", titles: dict[str, str] = V.STAGE_NAMES) -> DataFrame:
+    named = latencies.withColumn("canonical", canonical_stage(stage, titles)).where("canonical is not null")
     return named.groupBy("canonical").agg(F.avg("seconds").alias("mean_seconds"), F.count("*").alias("n"))
 
 

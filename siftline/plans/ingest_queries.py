@@ -25,7 +25,7 @@ def _docs(spark, sf_dir):
 @query(
     "hash_dedup",
     """SELECT seq, source FROM (SELECT doc_id AS seq, source,
-         row_number() OVER (PARTITION BY md5(lang || substring(text, 1, 200)) ORDER BY doc_id) AS rn FROM documents)
+         row_number() OVER (PARTITION BY md5(lang || text) ORDER BY doc_id) AS rn FROM documents)
        WHERE rn = 1""",
 )
 def hash_dedup(spark, sf_dir):
@@ -74,8 +74,8 @@ def source_priority_sort(spark, sf_dir):
 def top_n_problems(spark, sf_dir):
     p = _part_posts(spark, sf_dir)
     cols = ("seq", "source", "title")
-    low = I.rank_problems(p).select(*cols, F.lit("asc").alias("direction"))
-    high = I.rank_problems(p, descending=True).select(*cols, F.lit("desc").alias("direction"))
+    low = I.rank_problems(p, n=10).select(*cols, F.lit("asc").alias("direction"))
+    high = I.rank_problems(p, n=10, descending=True).select(*cols, F.lit("desc").alias("direction"))
     return low.unionByName(high)
 
 
@@ -129,7 +129,7 @@ _KEEP = "(title <> '' OR description <> '') AND (title <> '' OR id <> '') AND NO
        round(usability_rating * 0.7 + least(download_count / 1000.0, 1.0) * 0.3, 6) AS score FROM c WHERE {_KEEP} ORDER BY 3 DESC, 1""",
 )
 def catalog_filter_rank(spark, sf_dir):
-    return I.filter_rank_catalog(_catalog(spark, sf_dir)).select(
+    return I.filter_rank_catalog(_catalog(spark, sf_dir), 100, 1_000_000).select(
         "seq", "description", F.round("score", 6).alias("score")
     )
 
@@ -140,7 +140,7 @@ def catalog_filter_rank(spark, sf_dir):
        CASE WHEN size > 0 AND (size < 100 OR size > 1000000) THEN 'size ' || size || ' out of range' END) AS reasons FROM c WHERE NOT ({_KEEP})""",
 )
 def catalog_reject_reasons(spark, sf_dir):
-    reasons = I.catalog_reject_reasons()
+    reasons = I.catalog_reject_reasons(100, 1_000_000)
     return (
         _catalog(spark, sf_dir).withColumn("r", reasons).where(F.size("r") > 0)
         .select("seq", F.array_join("r", "; ").alias("reasons"))

@@ -143,14 +143,14 @@ def stage_summary(spark, sf_dir):
     return L.stage_summary(d, ["lang"])
 
 
-_STAGE = "CASE event_type WHEN 'click' THEN 'Problem Mining' WHEN 'view' THEN 'Dataset Matching' WHEN 'error' THEN NULL WHEN 'signup' THEN 'ML Feasibility Classification (Secondary Validation)' ELSE 'AutoML Training' END"
+_STAGE = "CASE event_type WHEN 'click' THEN 'Problem Mining' WHEN 'view' THEN 'Dataset Matching' WHEN 'error' THEN NULL WHEN 'signup' THEN 'ML Feasibility Classification (Secondary Validation)' ELSE 'Model Training' END"
 
 
 def _markers(spark, sf_dir):
     t = F.col("event_type")
     stage = (
         F.when(t == "click", "Problem Mining").when(t == "view", "Dataset Matching").when(t == "error", None)
-        .when(t == "signup", "ML Feasibility Classification (Secondary Validation)").otherwise("AutoML Training")
+        .when(t == "signup", "ML Feasibility Classification (Secondary Validation)").otherwise("Model Training")
     )
     return load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("line_no"), stage.alias("stage"))
 

@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.operators.ranking import sample_exact, sample_fraction
+from siftline.operators.ranking import sample_exact
 
-LARGE_FILE = 100 * 1024 * 1024
 
+def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None,
+               multi_line: bool = False) -> DataFrame:
+    """Read by extension: json, parquet, anything else as CSV with a header.
 
-def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Read by extension: json, parquet, anything else as CSV with a header."""
+    JSON has a row per line; ``multi_line`` reads files that hold one document each, or one array.
+    """
     fmt = fmt or next((e for e in ("json", "parquet") if path.lower().endswith("." + e)), "csv")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "json":
-        return reader.option("multiLine", True).json(path)
+        return reader.option("multiLine", multi_line).json(path)
     if fmt == "parquet":
         return reader.parquet(path)
     return reader.option("header", True).option("inferSchema", schema is None).csv(path)
 
 
-def load_capped(spark: SparkSession, path: str, key: str, max_rows: int = 50_000, seed: int = 42) -> DataFrame:
-    """Read at most ``max_rows`` rows: a seeded sample, drawn in two steps from a large file."""
+def load_capped(spark: SparkSession, path: str, key: str, max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Read a table, or a seeded sample of exactly ``max_rows`` of its rows, whatever its size."""
     df = load_table(spark, path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = hpath.getFileSystem(conf).getContentSummary(hpath).getLength()
-    if size > LARGE_FILE:
-        return sample_fraction(df, max_rows, key=key, seed=seed)
-    return sample_exact(df, key, max_rows, seed)
+    return df if max_rows is None else sample_exact(df, key, max_rows, seed)
+
+
+def import_sampled(spark: SparkSession, path: str, out: str, key: str, max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Land a table, or an exact sample of it, as CSV and read it back."""
+    load_capped(spark, path, key, max_rows, seed).write.mode("overwrite").option("header", True).csv(out)
+    return load_table(spark, out, "csv")
 
 
 def csv_tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,10 +56,10 @@ def resource_format(url: Column | str) -> Column:
     return F.when(F.lower(url).contains("json"), "json").otherwise("csv")
 
 
-def land_resource(spark: SparkSession, path: str, out: str) -> DataFrame:
+def land_resource(spark: SparkSession, path: str, out: str, multi_line: bool = False) -> DataFrame:
     """Convert a landed JSON or CSV resource to CSV and read it back."""
     fmt = "json" if "json" in path.lower() else "csv"
-    load_table(spark, path, fmt).write.mode("overwrite").option("header", True).csv(out)
+    load_table(spark, path, fmt, multi_line=multi_line).write.mode("overwrite").option("header", True).csv(out)
     return load_table(spark, out, "csv")
 
 

@@ -121,6 +121,36 @@ def test_training_learns_and_saves(spark, tmp_path):
 
 def test_cluster_finds_groups(spark):
     rows = [(float(10 * (i % 2) + (i % 5) / 10), float(i % 3) / 10) for i in range(60)]
-    _, metrics, _ = MD.cluster(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], k=2, restarts=2)
+    _, metrics, _ = MD.cluster(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], k=2, restarts=2, silhouette="euclidean")
     m = metrics.first()
     assert m["n_clusters"] == 2 and m["kind"] == "euclidean" and m["silhouette_score"] > 0.4
+
+
+def test_clustering_through_the_driver_takes_text_columns(spark):
+    rows = [(i, "x" if i % 2 else "y", float(i % 2)) for i in range(40)] + [(40, None, None)]
+    got = MD.train(spark.createDataFrame(rows, "id long, kind string, a double"), "clustering")
+    assert got.metrics.first()["n_clusters"] >= 2 and got.rows.count() == 41
+
+
+def test_stratified_folds_share_out_every_class(spark):
+    from siftline.operators import features as FX
+
+    rows = [(i, 0 if i % 10 else 1) for i in range(500)] + [(500 + i, 2) for i in range(3)]
+    out = FX.stratified_folds(spark.createDataFrame(rows, "id long, y int"), "id", "y", 5)
+    assert out.columns == ["id", "y", "fold"] and out.count() == 503
+    per = {(r["y"], r["fold"]): r["count"] for r in out.groupBy("y", "fold").count().collect()}
+    for y, n in ((0, 450), (1, 50), (2, 3)):
+        sizes = [per.get((y, f), 0) for f in range(5)]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_knn_model_counts_repeated_rows(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    train = spark.createDataFrame([(1.0, [0.0])] * 3 + [(0.0, [0.1]), (0.0, [0.2])], "label double, vec array<double>")
+    asked = spark.createDataFrame([([0.0],), ([0.0],)], "vec array<double>").select(array_to_vector("vec").alias("features"))
+    model = MD.KnnModel(train, 3, "classification")
+    assert [r["prediction"] for r in model.transform(asked).collect()] == [1.0, 1.0]
+    model.save(str(tmp_path / "knn"))
+    again = MD.KnnModel.load(spark, str(tmp_path / "knn"))
+    assert [r["prediction"] for r in again.transform(asked).collect()] == [1.0, 1.0]

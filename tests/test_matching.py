@@ -164,5 +164,6 @@ def test_model_registry(spark):
     reg = RG.register_models(RG.empty_registry(spark, "model"), runs, limit=2)
     got = {r["signature"]: (r["train_count"], r["model_paths"]) for r in reg.collect()}
     assert got == {"a": (2, ["m0", "m1"]), "b": (1, ["m3"])}
+    assert [r["seq"] for r in RG.refused_models(RG.empty_registry(spark, "model"), runs, limit=2).collect()] == [2]
     again = RG.register_models(reg, runs, limit=2)
     assert {r["signature"]: r["train_count"] for r in again.collect()} == {"a": 2, "b": 2}

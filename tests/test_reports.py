@@ -33,10 +33,15 @@ def test_next_value_crosses_buckets(spark):
 def test_read_runs_skips_bad_files(spark, tmp_path):
     good = {"run_id": "a", "start_time": "2026-01-01T00:00:00", "end_time": "2026-01-01T00:00:30", "success": True,
             "stages": {"ml_decision": {"success": True, "decisions": [{"decision": "do_not_train"}]}}}
-    (tmp_path / "pipeline_results_1.json").write_text(json.dumps(good, indent=1))
+    (tmp_path / "pipeline_results_1.json").write_text(json.dumps(good))
     (tmp_path / "pipeline_results_2.json").write_text("{broken")
     (tmp_path / "other.json").write_text("{}")
     runs = L.read_runs(spark, str(tmp_path)).cache()
+    tables.write_json(runs, str(tmp_path / "again"))
+    assert L.read_runs(spark, str(tmp_path / "again"), "*.json").count() == 1
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "pipeline_results_3.json").write_text(json.dumps(good, indent=1))
+    assert L.read_runs(spark, str(tmp_path / "long"), multi_line=True).first()["run_id"] == "a"
     assert runs.count() == 1 and L.run_duration(runs).first()["mean_seconds"] == 30.0
     f = L.success_funnel(runs).first()
     assert (f["total"], f["logic_decision"], f["feasibility"]) == (1, 1, 0)
@@ -58,8 +63,11 @@ def test_tables(spark, tmp_path):
     assert tables.csv_tables(spark, str(tmp_path)).count() == 1
     path = str(tmp_path / "t.json")
     (tmp_path / "t.json").write_text('[{"id": 1}, {"id": 2}]')
-    assert tables.load_table(spark, path).count() == 2
-    assert tables.land_resource(spark, path, str(tmp_path / "csv")).count() == 2
+    assert tables.load_table(spark, path, multi_line=True).count() == 2
+    assert tables.land_resource(spark, path, str(tmp_path / "csv"), multi_line=True).count() == 2
+    tables.write_json(d.coalesce(1), str(tmp_path / "lines.json"))
+    assert tables.load_table(spark, str(tmp_path / "lines.json")).count() == 20
+    assert tables.import_sampled(spark, str(tmp_path / "deep" / "one"), str(tmp_path / "part"), "id", 5).count() == 5
     assert tables.load_capped(spark, str(tmp_path / "deep" / "one"), "id", 7).count() == 7
     tables.write_json(d, str(tmp_path / "out"), "name")
     assert spark.read.json(str(tmp_path / "out")).count() == 20
@@ -81,10 +89,10 @@ def test_sources_edges(spark):
 
 
 def test_keyword_scores(spark):
-    q = spark.createDataFrame([(0, ["Heart", "xyz", "heart"]), (1, ["classification-task"])], "query_id int, keywords array<string>")
+    q = spark.createDataFrame([(0, ["Heart", "xyz", "heart"]), (1, ["classification-task"]), (2, [])], "query_id int, keywords array<string>")
     c = spark.createDataFrame([(7, ["heart", "disease"]), (8, ["classification"]), (9, ["art"])], "dataset_id int, keywords array<string>")
     got = {(r[0], r[1]): r[2] for r in I.keyword_scores(q, c).collect()}
-    assert got == {(0, 7): 2, (0, 9): 2, (1, 8): 1}
+    assert got == {(0, 7): 2, (0, 9): 2, (1, 8): 1, (2, 7): 0, (2, 8): 0, (2, 9): 0}
 
 
 def test_group_limit_runs_before_the_shuffle(spark, sf):
