@@ -20,10 +20,10 @@ HOT = 1000
 CHUNK = 50_000
 
 
-def _hot(counts: DataFrame, at_least: int = 1) -> DataFrame:
+def _hot(counts: DataFrame) -> DataFrame:
     """The tokens of a (t, f) table that hold over 1/HOT of its rows: at most HOT of them."""
     total = counts.agg(F.coalesce(F.sum("f"), F.lit(0))).scalar()
-    return counts.where((F.col("f") * HOT > total) & (F.col("f") >= at_least))
+    return counts.where(F.col("f") * HOT > total)
 
 
 def _with_frequency(exploded: DataFrame, freq: DataFrame) -> DataFrame:
@@ -71,18 +71,30 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float | None = None
     lp = _prefix(lsets, F.col("thr"))
     rp = _prefix(rsets, least if isinstance(least, Column) else F.lit(float(least)))
 
-    # Hot prefix tokens: their right rows are dealt to several salts, their left rows to all.
-    counts = rp.groupBy("t").agg(F.count("*").alias("f"))
-    hot = _hot(counts, CHUNK).select("t", F.ceil(F.col("f") / CHUNK).cast("int").alias("s"))
-    salts = F.coalesce("s", F.lit(1))
-    lp = lp.join(F.broadcast(hot), "t", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("s")
-    rp = rp.join(F.broadcast(hot), "t", "left").withColumn("salt", F.pmod(F.xxhash64("k"), salts).cast("int")).drop("s")
+    # Rows of a token that is hot on either side meet in a grid: each side is cut into chunks of
+    # CHUNK rows, and each chunk goes to all chunks of the other side.
+    counts = (
+        rp.select("t", F.lit(0).alias("l")).unionByName(lp.select("t", F.lit(1).alias("l"))).groupBy("t")
+        .agg(F.sum("l").alias("fl"), F.sum(1 - F.col("l")).alias("fr"))
+    )
+    chunks = {f"s{x}": F.ceil(F.col(f"f{x}") / CHUNK).cast("int") for x in "lr"}
+    hot = counts.where((F.greatest("fl", "fr") > CHUNK) & (F.least("fl", "fr") > 0)).withColumns(chunks).drop("fl", "fr")
+    hot = cut(hot)
+    if hot.limit(HOT + 1).count() <= HOT:
+        hot = F.broadcast(hot)
+    own, other = ({x: F.coalesce(f"s{y}", F.lit(1)) for x, y in pairs} for pairs in (("ll", "rr"), ("lr", "rl")))
+    sides = {}
+    for x, rows in (("l", lp), ("r", rp)):
+        dealt = rows.join(hot, "t", "left").withColumn("own", F.pmod(F.xxhash64("k"), own[x]).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), other[x] - 1))).drop("sl", "sr")
+        sides[x] = dealt
+    lp, rp = sides["l"], sides["r"]
 
     a, b = lp.alias("a"), rp.alias("b")
     ln, rn, thr = F.col("a.n"), F.col("b.n"), F.col("a.thr")
     room = F.least(ln - F.col("a.pos"), rn - F.col("b.pos"))
     on = (
-        (F.col("a.t") == F.col("b.t")) & (F.col("a.salt") == F.col("b.salt"))
+        (F.col("a.t") == F.col("b.t")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
         & (rn >= thr * ln - EPS) & (ln >= thr * rn - EPS)
         & (room >= thr / (1 + thr) * (ln + rn) - EPS)
     )

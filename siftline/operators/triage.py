@@ -378,13 +378,14 @@ def gate4(
 
 
 def triage(
-    df: DataFrame, vocab: Vocabulary = DEFAULT, strict: bool = True, direct: bool = False
+    df: DataFrame, vocab: Vocabulary = DEFAULT, strict: bool = True, direct: bool = False, where: Column | str | None = None
 ) -> DataFrame:
     """Add the gate structs and ``decision``, decided by the first gate that fails.
 
-    ``direct`` (or a post whose source is 'direct_input') skips gate 1.
+    ``direct`` (or a post whose source is 'direct_input') skips gate 1. ``where`` limits the posts
+    that are triaged; unlike a filter written after triage it reaches the scan.
     """
-    df = _text_columns(df)
+    df = _text_columns(df if where is None else df.where(where))
     skip = F.lit(direct) | F.col("_direct")
     df = gate1(df, vocab).withColumn("intent", F.when(skip, skipped_intent()).otherwise(F.col("intent")))
     ok1 = F.col("intent.category") == "predictive_ml_task"

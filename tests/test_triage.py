@@ -98,3 +98,17 @@ def test_text_functions(spark):
     ).first()
     assert r["slug"] == "hello_world_x" and r["none"] == "ml-solution" and r["two"]["name"] == "b" and r["three"] is None
     assert r["ctx"] == "the goal is clea" and r["next"] == ["age", "income"] and r["q"]
+
+
+def test_where_reaches_the_scan(spark, sf):
+    from pyspark.sql import functions as F
+
+    from siftline.session import load
+
+    posts = load(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"),
+        F.col("text").alias("description"), F.col("text").alias("full_text"), "source", "lang",
+    )
+    out = T.triage(posts, where="lang = 'en'")
+    plan = out.select("seq", "decision.decision")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and out.count() == posts.where("lang = 'en'").count()
