@@ -66,7 +66,33 @@ def op8_sharding(spark, sf_dir):
     )
 
 
-@query("op9_mixing")
+@query(
+    "op9_mixing",
+    r"""WITH RECURSIVE d AS (
+         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+       s AS (SELECT source, sum(n)::BIGINT AS t FROM d GROUP BY 1),
+       total AS (SELECT sum(t)::DOUBLE AS total, 0.9 * ln(count(*) FILTER (t > 0)) AS goal, count(*) FILTER (t > 0) AS k FROM s),
+       p AS (SELECT t / total AS p FROM s, total WHERE t > 0),
+       bisect(i, low) AS (
+         SELECT 0, 0::DOUBLE UNION ALL
+         SELECT i + 1, low + CASE WHEN (SELECT ln(sum(pow(p, low + pow(2, -i - 1)))) - (low + pow(2, -i - 1)) *
+             sum(pow(p, low + pow(2, -i - 1)) * ln(p)) / sum(pow(p, low + pow(2, -i - 1))) FROM p) >= (SELECT goal FROM total)
+           THEN pow(2, -i - 1) ELSE 0 END
+         FROM bisect WHERE i < 20),
+       e AS (SELECT CASE WHEN (SELECT -sum(p * ln(p)) FROM p) >= (SELECT goal FROM total) OR (SELECT k FROM total) = 1 THEN 1.0 ELSE max(low) END AS a FROM bisect),
+       m AS (SELECT source, t, CASE WHEN t > 0 THEN pow(t / total, a) ELSE 0 END AS v FROM s, total, e),
+       z AS (SELECT sum(v) AS z, ceil(max(CASE WHEN t > 0 THEN t / v * (SELECT sum(v) FROM m) END)) AS budget FROM m),
+       q AS (SELECT source, t, v / z AS w, round(v / z * budget)::BIGINT AS quota FROM m, z WHERE t > 0),
+       c AS (SELECT *, quota // t AS whole, quota % t AS rest FROM q),
+       last AS (SELECT d.doc_id, d.source, n, whole, rest, sum(n) OVER (PARTITION BY d.source
+           ORDER BY md5('23:' || whole || ':' || doc_id) RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN c USING (source)),
+       copies AS (SELECT doc_id, source, n, unnest(range(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM last),
+       placed AS (SELECT *, epoch * t + coalesce(sum(n) OVER (PARTITION BY source, epoch
+           ORDER BY md5('23:' || epoch || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         FROM copies JOIN c USING (source))
+       SELECT doc_id, source, epoch::INT AS epoch, n AS n_tokens, start::BIGINT AS start, floor(start / (w * 1000000.0))::BIGINT AS block,
+         md5('24:' || epoch || ':' || doc_id) AS "order" FROM placed""",
+)
 def op9_mixing(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_tokens"))
     planned = mixing.plan(docs, "whole", entropy=0.9, tokens=F.col("n_tokens"))

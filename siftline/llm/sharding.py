@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, prefix_sums, text_bytes
+from siftline.llm.common import materialise, prefix_sums, task_count, text_bytes
 
 BUCKET_BYTES = 16 << 20
 LAW = "rows"
+MOST_TASKS = 20_000
 
 
 def _hash(seed: int, doc_id: str, text: str):
@@ -35,7 +36,7 @@ def write_shards(
     if {"shard", "slot"} & set(docs.columns):
         raise ValueError("the columns shard and slot are added here")
     spark = docs.sparkSession
-    buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
+    buckets = task_count(spark, text_bytes(docs, text), bucket_bytes)
     bucket = F.pmod(_hash(seed, doc_id, text), F.lit(buckets))
     counts = materialise(docs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "bucket-counts")
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
@@ -43,8 +44,8 @@ def write_shards(
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     scattered = docs.select(bucket.alias("bucket"), F.struct(_hash(seed + 1, doc_id, text).alias("order"), row.alias("row")).alias("record"))
-    tasks = max(min(buckets, 20_000), spark.sparkContext.defaultParallelism)
-    records = F.shuffle(F.array_sort(F.collect_list("record")), seed)
+    tasks = min(buckets, MOST_TASKS)
+    records = F.shuffle(F.sort_array(F.collect_list("record")), seed)
     shuffled = (
         scattered.repartition(tasks, "bucket").groupBy("bucket").agg(records.alias("records"))
         .select("bucket", F.posexplode("records").alias("place", "record"))
