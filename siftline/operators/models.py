@@ -13,6 +13,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,10 +207,10 @@ class KnnModel:
         self.k, self.task = k, task
 
     def transform(self, df: DataFrame) -> DataFrame:
-        arr = df.withColumn("_vec", vector_to_array("features")).withColumn("_row", F.sha2(F.to_json(F.struct("_vec")), 256))
-        asked = arr.select(F.col("_row").alias("id"), F.col("_vec").alias("vec")).dropDuplicates(["id"])
+        arr = df.withColumn("_knn_vec", vector_to_array("features")).withColumn("_knn_row", F.sha2(F.to_json(F.struct("_knn_vec")), 256))
+        asked = arr.select(F.col("_knn_row").alias("id"), F.col("_knn_vec").alias("vec")).dropDuplicates(["id"])
         pred = knn_predict(self.train, asked, self.k, self.task)
-        return arr.join(pred.withColumnRenamed("id", "_row"), "_row").drop("_vec", "_row")
+        return arr.join(pred.withColumnRenamed("id", "_knn_row"), "_knn_row").drop("_knn_vec", "_knn_row")
 
     def save(self, path: str) -> None:
         self.train.withColumns({"k": F.lit(self.k), "task": F.lit(self.task)}).write.mode("overwrite").parquet(path)
@@ -303,6 +304,13 @@ class Trained:
         ready = Pipeline(stages=self.prepared.stages()).fit(df).transform(df)
         return decode(self.model.transform(ready), self.prepared.labels)
 
+    def save(self, path: str) -> None:
+        """Write preparation, model of any kind and class names; ``load_scorer`` reads them."""
+        PipelineModel(stages=self.prepared.stages()).write().overwrite().save(f"{path}/preparation")
+        save_model(self.model, f"{path}/model")
+        spark = self.prepared.rows.sparkSession
+        spark.createDataFrame([(list(self.prepared.labels),)], "labels array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
 
 @dataclass
 class Clustered:
@@ -452,6 +460,53 @@ class Stacking:
         return self.meta.transform(self._meta_features(self.models, base, self.classes)).drop("_row", "_meta")
 
 
+@dataclass
+class Scorer:
+    """A saved training result: raw tables in, predictions out."""
+
+    preparation: PipelineModel
+    model: object
+    labels: list[str]
+
+    def score_raw(self, df: DataFrame) -> DataFrame:
+        return decode(self.model.transform(self.preparation.transform(df)), self.labels)
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    labels = spark.read.parquet(f"{path}/labels").first()["labels"]
+    return Scorer(PipelineModel.load(f"{path}/preparation"), load_model(spark, f"{path}/model"), labels)
+
+
+def save_model(model, path: str) -> None:
+    """Write a fitted model of any kind: plain, nearest neighbours, voting or stacking."""
+    spark = SparkSession.active()
+    parts = model.models if isinstance(model, (Voting, Stacking)) else []
+    kind = {KnnModel: "knn", Voting: "voting", Stacking: "stacking"}.get(type(model), "plain")
+    about = (kind, len(parts), getattr(model, "soft", False), getattr(model, "classes", 0))
+    spark.createDataFrame([about], "kind string, parts int, soft boolean, classes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    for i, part in enumerate(parts):
+        save_model(part, f"{path}/part-{i}")
+    if kind == "knn":
+        model.save(f"{path}/rows")
+    elif kind == "stacking":
+        save_model(model.meta, f"{path}/meta")
+    elif kind == "plain":
+        model.write().overwrite().save(f"{path}/fitted")
+
+
+def load_model(spark: SparkSession, path: str):
+    """Read what ``save_model`` wrote."""
+    about = spark.read.parquet(f"{path}/about").first()
+    parts = [load_model(spark, f"{path}/part-{i}") for i in range(about["parts"])]
+    if about["kind"] == "knn":
+        return KnnModel.load(spark, f"{path}/rows")
+    if about["kind"] == "voting":
+        return Voting(parts, about["soft"])
+    if about["kind"] == "stacking":
+        return Stacking(parts, load_model(spark, f"{path}/meta"), about["classes"])
+    return DefaultParamsReader.loadParamsInstance(f"{path}/fitted", spark.sparkContext)
+
+
 def finalise(df: DataFrame, task: str, target: str, key: str = "id", models: Sequence[str] = ("rf", "lr"), cv: int = 3,
              seed: int = 42, options: dict[str, dict] | None = None) -> tuple[DataFrame, object]:
     """Choose by cross-validated score, then refit the choice on all rows."""

@@ -154,3 +154,18 @@ def test_knn_model_counts_repeated_rows(spark, tmp_path):
     model.save(str(tmp_path / "knn"))
     again = MD.KnnModel.load(spark, str(tmp_path / "knn"))
     assert [r["prediction"] for r in again.transform(asked).collect()] == [1.0, 1.0]
+
+
+def test_models_of_every_kind_survive_saving(spark, tmp_path):
+    rows = [(i, float(i % 7), float(i % 5), "a" if (i % 7) + (i % 5) > 5 else "b") for i in range(140)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, target string")
+    got = MD.train(df, "classification", "target", models=("lr",), cv=0, ensembles=False)
+    train = got.prepared.train.select("label", "vec")
+    lr, knn = got.model, MD.KnnModel(train, 3, "classification")
+    stacked = MD.Stacking.fit(["lr", "knn"], train, 2, 140, 1, {})
+    for i, model in enumerate((lr, knn, MD.Voting([lr, knn], False), stacked)):
+        got.model = model
+        want = {r["id"]: r["predicted"] for r in got.score_raw(df).collect()}
+        got.save(str(tmp_path / str(i)))
+        scorer = MD.load_scorer(spark, str(tmp_path / str(i)))
+        assert {r["id"]: r["predicted"] for r in scorer.score_raw(df).collect()} == want
