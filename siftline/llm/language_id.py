@@ -75,10 +75,14 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, doc_id: str = "doc_id", t
     sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # A cut of the hash leaves about twice ``per_lang`` ids a language to be ranked, whatever its size.
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, (2 * per_lang + 100) / r["count"]))] or [F.lit(""), F.lit(0.0)])
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = rows.select("lang", "id").where(place < share[F.col("lang")]).distinct()
+    by_hash = Window.partitionBy("lang").orderBy(place, "id")
     # At most MAX_LANGS * per_lang ids: small enough to broadcast.
-    sample = rows.select("lang", "id").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_lang)
-    chosen = rows.join(F.broadcast(sample.select("id", "lang").distinct()), ["id", "lang"])
+    sample = few.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_lang)
+    chosen = rows.join(F.broadcast(sample.select("id", "lang")), ["id", "lang"])
     counted = chosen.select("lang", "text").mapInPandas(_counter, "lang string, bucket int, n long")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = [r.lang for r in sizes]
