@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import travels
+from siftline.llm.common import materialise, travels
 
 travels(__name__)
 
@@ -237,10 +237,15 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, per_kind: int = PER_KIND, margin: float = MARGIN, text: str = "text") -> SecretModel:
     """Infer the automata from the credentials that the patterns find in ``docs``."""
-    by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    found = materialise(docs.select(F.col(text).alias("text")).mapInPandas(_labelled, "kind int, value string").distinct(), "credentials")
+    sizes = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    # A cut of the hash leaves about twice ``per_kind`` values a kind to be ranked, whatever their number.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (2 * per_kind + 100) / n))] or [F.lit(0), F.lit(0.0)])
+    place = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    by_hash = Window.partitionBy("kind").orderBy(place, "value")
     values = (
-        docs.select(F.col(text).alias("text")).mapInPandas(_labelled, "kind int, value string").distinct()
-        .withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind).orderBy("kind", "r").collect()
+        found.where(place < share[F.col("kind")]).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind)
+        .orderBy("kind", "r").collect()
     )
     by_kind: dict[int, list[str]] = defaultdict(list)
     for r in values:
