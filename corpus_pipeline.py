@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, language_id, mixing, near_dedup, token_output
 from siftline.session import load, scratch
