@@ -4,8 +4,8 @@ The patterns give labelled credentials. From at most ``PER_KIND`` of them a kind
 smallest hash (the documented bound), a prefix tree of character classes is built, and its states
 are merged where their outgoing frequencies are compatible under the Hoeffding bound (the ALERGIA
 rule, with folding). The result is a probabilistic automaton per kind; another one comes from plain
-words of the same texts, as background. Every candidate of every text (a run of credential
-characters that no pattern covers) is then scored by its log-likelihood per character under each
+words of the same texts, as background. Every candidate of every text (a run of at least
+``LEAST_LENGTH`` credential characters, cut at the spans of the patterns) is then scored, whole, by its log-likelihood per character under each
 automaton against the background; the best kind is added if it beats the background by
 ``margin`` and is about as likely as the credentials it was learnt from.
 
@@ -20,23 +20,26 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, travels
+from siftline.llm.common import materialise, travels, worker_cache
 
 travels(__name__)
 
 PER_KIND = 2000
 ALPHA = 0.01
 MARGIN = 1.0
-LEAST_LENGTH, MOST_LENGTH = 16, 512
+LEAST_LENGTH, SLICE = 6, 512
+VALUES_KEPT, SHORT = 200_000, 40
 KINDS = ("assign", "access", "hex")
 
 # Fixed values of the base patterns.
@@ -44,8 +47,8 @@ ASSIGN = r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_.=-]{16,}"
-LEAST_ASSIGNED = 6
+CANDIDATE = r"[A-Za-z0-9+/_.=-]{6,}"
+LEAST_ASSIGNED = LEAST_LENGTH
 
 _assign, _access, _hex, _candidate = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
 
@@ -68,11 +71,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Runs of credential characters that hold a digit and overlap no base span."""
-    out = []
+    """Runs of credential characters, and what base spans leave of the runs they touch, in order."""
+    out, taken, k = [], sorted((s, e) for _, s, e, _ in base), 0
     for m in _candidate.finditer(text):
-        if any(c.isdigit() for c in m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
-            out.append(m.span())
+        at = m.start()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        for s, e in takewhile(lambda x: x[0] < m.end(), islice(taken, k, None)):
+            if s - at >= LEAST_LENGTH:
+                out.append((at, s))
+            at = max(at, e)
+        if m.end() - at >= LEAST_LENGTH:
+            out.append((at, m.end()))
     return out
 
 
@@ -83,17 +93,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 # ---- grammar inference -------------------------------------------------------------------------
 
 
-def symbols(value: str) -> list[int]:
-    """Character classes: a-f, g-z, A-F, G-Z, digits and each other credential character."""
-    return [
-        0 if "a" <= c <= "f" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "F" else 3 if "A" <= c <= "Z"
-        else 4 if "0" <= c <= "9" else 5 + "+/_.=-".find(c) if c in "+/_.=-" else 11
-        for c in value[:MOST_LENGTH]
-    ]
-
-
 SYMBOLS = 12
 CLASS_SIZE = np.array([6, 20, 6, 20, 10, 1, 1, 1, 1, 1, 1, 1], float)
+CLASS_OF = np.full(128, 11, np.int8)
+for _i, _chars in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "0123456789", *"+/_.=-")):
+    CLASS_OF[[ord(c) for c in _chars]] = _i
+
+
+def symbols(value: str) -> np.ndarray:
+    """Character classes: a-f, g-z, A-F, G-Z, digits and each other credential character."""
+    return CLASS_OF[np.frombuffer(value.encode("ascii", "replace"), np.uint8)]
 
 
 class Automaton:
@@ -105,7 +114,7 @@ class Automaton:
         self.ends = [0]
         for x in examples:
             at = 0
-            for c in symbols(x):
+            for c in symbols(x).tolist():
                 self.hits[at][c] += 1
                 if c not in self.to[at]:
                     self.to[at][c] = len(self.to)
@@ -184,19 +193,22 @@ class Automaton:
         del self.to, self.hits, self.ends, self.red
 
     def score(self, values: list[str]) -> np.ndarray:
-        """Mean log-likelihood per character of each value, all values in step."""
-        coded = [symbols(v) for v in values]
-        longest = max(map(len, coded), default=0)
-        table = np.full((len(values), longest), -1, np.int64)
-        for i, x in enumerate(coded):
-            table[i, : len(x)] = x
+        """Mean log-likelihood per character of each value, all values in step, by slices that carry the state on."""
+        lengths = np.array([len(v) for v in values], np.int64)
         state, total = np.zeros(len(values), np.int64), np.zeros(len(values))
-        for j in range(longest):
-            (live,) = (table[:, j] >= 0).nonzero()
-            c = table[live, j]
-            total[live] += self.log_p[state[live], c]
-            state[live] = self.next[state[live], c]
-        return total / np.maximum((table >= 0).sum(1), 1)
+        for begin in range(0, int(lengths.max(initial=0)), SLICE):
+            (rows,) = (lengths > begin).nonzero()
+            # Longest first, so that those still running are always the first ones.
+            rows = rows[np.argsort(-lengths[rows], kind="stable")]
+            sizes = np.minimum(lengths[rows] - begin, SLICE)
+            coded = symbols("".join(values[i][begin : begin + SLICE] for i in rows))
+            starts = np.cumsum(sizes) - sizes
+            for j in range(int(sizes[0])):
+                at = rows[: np.searchsorted(-sizes, -j, "left")]
+                c = coded[starts[: len(at)] + j]
+                total[at] += self.log_p[state[at], c]
+                state[at] = self.next[state[at], c]
+        return total / np.maximum(lengths, 1)
 
 
 @dataclass
@@ -204,6 +216,17 @@ class SecretModel:
     automata: list[tuple[int, Automaton, float]]  # kind, automaton, least score
     background: Automaton | None
     margin: float
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def remembered(self, values: list[str], known: dict[str, int]) -> list[int]:
+        """``kinds``, computed once per distinct value; ``known`` keeps short ones, as most are words that recur."""
+        if len(known) > VALUES_KEPT:
+            known.clear()
+        fresh = list({v for v in values if v not in known})
+        now = dict(zip(fresh, self.kinds(fresh).tolist()))
+        out = [known[v] if v in known else now[v] for v in values]
+        known.update((v, k) for v, k in now.items() if len(v) <= SHORT)
+        return out
 
     def kinds(self, values: list[str]) -> np.ndarray:
         """Kind of each value, or -1."""
@@ -267,6 +290,7 @@ def scan(docs: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str
     @F.pandas_udf(counted)
     def scanned(texts: pd.Series) -> pd.DataFrame:
         bases, where, values = [], [], []
+        known = worker_cache("secret_kinds")
         for i, t in enumerate(texts):
             base = base_spans(t) if t else []
             bases.append([x[:3] for x in base])
@@ -274,7 +298,7 @@ def scan(docs: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str
                 where.append((i, s, e))
                 values.append(t[s:e])
         added: dict[int, list] = defaultdict(list)
-        for (i, s, e), kind in zip(where, shared.value.kinds(values).tolist()):
+        for (i, s, e), kind in zip(where, shared.value.remembered(values, known.setdefault(shared.value.token, {}))):
             if kind >= 0:
                 added[i].append((kind, s, e))
         counts = [[sum(x[0] == k for x in base) for base in bases] for k in range(3)]
