@@ -18,8 +18,9 @@
 
 Edge cases: null or blank texts have no set and link with nothing; a text shorter than k words is one
 shingle; null doc_ids are ignored when the smallest is taken (a component of null ids alone has null and
-keeps nothing but is still listed); rows repeated with one doc_id are one class and are all kept or
-all dropped; other columns are not read.
+keeps nothing but is still listed); rows repeated with one doc_id are one class and are all marked
+kept or not; other columns are not read. ``drop_near_duplicates`` does not go by that mark but keeps one row
+of each component, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -281,6 +282,13 @@ def _across(placed: DataFrame, texts: DataFrame, words: int, hundredths: int) ->
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, hundredths: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, one of each group; same columns."""
-    kept = near_duplicates(docs, words, hundredths, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept_id"], "left_semi")
+    """The documents that are kept, one row of each group, whatever their ids; same columns.
+
+    The row kept is the first by (doc_id, nulls last; hash of the text). Rows equal in both are told apart
+    by their number, which is given once, when the rows are written.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, words, hundredths, "_row", text).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col("_row").alias("row")))
+    kept = numbered.select("_row", doc_id, text).join(groups, "_row").groupBy("_group").agg(first["row"].alias("_row")).select("_row")
+    return numbered.join(kept, "_row", "left_semi").drop("_row")

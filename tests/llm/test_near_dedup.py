@@ -73,3 +73,13 @@ def test_nulls_empty_table_and_other_columns(spark):
 def test_bands_miss_almost_nothing(threshold):
     n = N.band_count(threshold)
     assert (1 - threshold**N.ROWS) ** n <= 1e-7
+
+
+def test_one_row_of_each_group_is_kept_whatever_its_id(spark):
+    alone = "a text of its own that nobody else has written down here"
+    shared = "this text was copied many times under a single document id"
+    rows = [(None, f"{alone} {i} {i} {i} {i} {i} {i} {i}") for i in range(5)] + [(7, shared)] * 6 + [(7, "a very different text under the same id as the copies")]
+    rows += [(8, shared), (None, shared), (None, None), (None, None), (9, "")]
+    kept = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = sorted([r for r in rows if r[0] is None and (r[1] is None or r[1] != shared)] + [(7, shared), rows[11], (9, "")], key=str)
+    assert sorted([(r.doc_id, r.text) for r in kept], key=str) == want
