@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftline.functions import text as X
 from siftline.functions import vocab as V
@@ -169,9 +168,6 @@ def first_usable(matches: DataFrame, available: DataFrame, key: str = "problem_i
     return first_per_group(usable, [key], order)
 
 
-MOST_UNASKED = 1000
-
-
 def _pieces(word: Column) -> Column:
     """All substrings of a (short) keyword."""
     n = F.length(word)
@@ -192,8 +188,8 @@ def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "quer
 
     "One lies in the other" is an equality between one keyword and a piece of the
     other, so both directions are hash joins on distinct keywords. A query without
-    keywords asks for nothing in particular and gets every entry with score 0; such
-    queries are few, and more than ``MOST_UNASKED`` of them are refused.
+    keywords asks for nothing in particular and gets every entry with score 0, so the
+    result holds the whole catalog once per such query.
     """
     asked = queries.select(query_id, F.explode(F.transform(keywords, F.lower)).alias("kw"))
     listed = catalog.select(entry_id, F.explode(F.array_distinct(entry_keywords)).alias("dk"))
@@ -204,13 +200,9 @@ def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "quer
     hits = pairs.join(listed, "dk").select("kw", entry_id).distinct()
     counted = asked.groupBy(query_id, "kw").agg(F.count("*").alias("_n"))
     scored = counted.join(hits, "kw").groupBy(query_id, entry_id).agg(F.sum("_n").alias("score"))
-    blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct().limit(MOST_UNASKED + 1).collect()
-    if len(blank) > MOST_UNASKED:
-        raise ValueError(f"more than {MOST_UNASKED} queries without keywords")
-    if not blank:
-        return scored
-    ids = F.array(*[F.lit(r[0]) for r in blank]).cast(T.ArrayType(queries.schema[query_id].dataType))
-    return scored.unionByName(catalog.select(F.explode(ids).alias(query_id), entry_id).distinct().withColumn("score", F.lit(0).cast("long")))
+    blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct()
+    every = catalog.select(entry_id).distinct()
+    return scored.unionByName(blank.crossJoin(every).withColumn("score", F.lit(0).cast("long")))
 
 
 def joined_keyword_text(keywords: X.Col) -> Column:

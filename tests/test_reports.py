@@ -95,6 +95,14 @@ def test_keyword_scores(spark):
     assert got == {(0, 7): 2, (0, 9): 2, (1, 8): 1, (2, 7): 0, (2, 8): 0, (2, 9): 0}
 
 
+def test_keyword_scores_of_many_queries_without_keywords(spark):
+    blank = spark.range(1500).selectExpr("CAST(id AS INT) query_id", "CAST(IF(id % 2 = 0, array(), NULL) AS array<string>) keywords")
+    q = blank.unionByName(spark.createDataFrame([(5000, ["heart"])], "query_id int, keywords array<string>"))
+    c = spark.createDataFrame([(7, ["heart"]), (8, ["other"]), (8, ["more"])], "dataset_id int, keywords array<string>")
+    got = {(r[0], r[1], r[2]) for r in I.keyword_scores(q, c).collect()}
+    assert got == {(i, d, 0) for i in range(1500) for d in (7, 8)} | {(5000, 7, 1)}
+
+
 def test_group_limit_runs_before_the_shuffle(spark, sf):
     from siftline.plans.ingest_queries import QUERIES
 
