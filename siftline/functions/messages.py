@@ -6,14 +6,11 @@ Reports group by them, so they are part of the result.
 # ---------------------------------------------------------------------------
 # Category -> (confidence, reasoning, recommended action).
 # ---------------------------------------------------------------------------
-_EXPLAIN = (
-    "Provide conceptual explanation, key ideas, practical implications, and limitations."
-)
 INTENT = {
     "ml_research_paper": (
         0.95,
         "This appears to be an ML research paper or technique discussion. It describes ML concepts, methodologies, or theoretical work, not a predictive task requiring model training.",
-        _EXPLAIN + " No dataset, model training, or metrics apply.",
+        "Provide conceptual explanation, key ideas, practical implications, and limitations. No dataset, model training, or metrics apply.",
     ),
     "system_design": (
         0.9,
@@ -23,7 +20,7 @@ INTENT = {
     "research_discussion": (
         0.9,
         "This input describes an ML concept or research work, not a predictive task. No dataset, model training, or metrics apply.",
-        _EXPLAIN + " No model training needed.",
+        "Provide conceptual explanation, key ideas, practical implications, and limitations. No model training needed.",
     ),
     "news_announcement": (
         0.85,

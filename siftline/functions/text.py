@@ -73,7 +73,7 @@ def any_keyword(text: Col, vocab: Sequence[str], word_boundary: bool = False) ->
 
 def word_array(vocab: Sequence[str]) -> Column:
     """The words as one constant array (folded when the query is planned)."""
-    return F.split(F.lit("\x01".join(vocab)), "\x01")
+    return F.array(*[F.lit(w) for w in vocab])
 
 
 def standing_alone(singles: Sequence[str]) -> str:
