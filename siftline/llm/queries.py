@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
+from siftline.llm import conversation, decontaminate, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
 from siftline.plans.registry import registry
 from siftline.session import load, scratch
 
@@ -111,3 +111,8 @@ def op10_warc(spark, sf_dir):
     folder = scratch(spark, "packages")
     warc.write_packages(load(spark, sf_dir, "pages"), folder)
     return warc.read_packages(spark, folder).drop("url")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    return conversation.report(conversation.repair(conversation.damage(load(spark, sf_dir, "conversations"))))
