@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm import conversation, decontaminate, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
+from siftline.llm import conversation, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
 from siftline.plans.registry import registry
 from siftline.session import load, scratch
 
@@ -113,6 +113,26 @@ def op10_warc(spark, sf_dir):
     return warc.read_packages(spark, folder).drop("url")
 
 
+@query(
+    "op11_hard_negatives",
+    """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+         FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+       s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+           list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)])::BIGINT AS score
+         FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+       p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+       SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank,
+         s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+       FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+       QUALIFY rank <= 10""",
+)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(load(spark, sf_dir, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     return conversation.report(conversation.repair(conversation.damage(load(spark, sf_dir, "conversations"))))
