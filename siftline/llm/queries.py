@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm import conversation, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_output, warc
+from siftline.llm import conversation, decontaminate, hard_negatives, language_id, line_dedup, mixing, near_dedup, quality, quality_classifier, secret_scan, sharding, token_output, warc
 from siftline.plans.registry import registry
 from siftline.session import load, scratch
 
@@ -136,3 +136,11 @@ def op11_hard_negatives(spark, sf_dir):
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     return conversation.report(conversation.repair(conversation.damage(load(spark, sf_dir, "conversations"))))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    labels = load(spark, sf_dir, "labels").where(~quality_classifier.held_out())
+    model = quality_classifier.fit(docs, labels)
+    return quality_classifier.score(docs, model).withColumn("held_out", quality_classifier.held_out()).select("doc_id", "held_out", "score", "predicted")
