@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
 from siftline.functions import vocab as V
+from siftline.operators import setjoin as J
 from siftline.operators.ranking import first_per_group
 
 
@@ -168,41 +169,80 @@ def first_usable(matches: DataFrame, available: DataFrame, key: str = "problem_i
     return first_per_group(usable, [key], order)
 
 
-def _pieces(word: Column) -> Column:
-    """All substrings of a (short) keyword."""
+GRAM = 3
+
+
+def _grams(word: Column, length: int) -> Column:
     n = F.length(word)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(word, i, k)),
-            )
-        )
-    )
+    starts = F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(word, i, F.lit(length))))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long): the words of ``short`` that lie in words of ``long``; both have one column of distinct words.
+
+    A word is filed under its rarest piece of three characters, or under itself if it is shorter; the
+    longer side looks under all its pieces of one to three characters, three times its length at most.
+    Words that meet are compared whole.
+    """
+    s, l = short.toDF("short"), long.toDF("long")
+    grams = l.select("long", _grams(F.col("long"), GRAM).alias("toks"))
+    table = J.rarity(grams)
+    rarest = F.get(J.keys(_grams(F.col("short"), GRAM), table), F.lit(0))
+    filed = s.where("short <> ''").select("short", F.when(F.length("short") >= GRAM, rarest).otherwise(F.xxhash64("short")).alias("piece"))
+    small = [F.transform(_grams(F.col("long"), k), lambda x: F.xxhash64(x)) for k in range(1, GRAM)]
+    looked = grams.select("long", F.explode(F.array_distinct(F.concat(J.keys("toks", table), *small))).alias("piece"))
+    return filed.join(looked, "piece").where(F.col("long").contains(F.col("short"))).select("short", "long").distinct()
 
 
 def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "query_id", keywords: str = "keywords",
                    entry_id: str = "dataset_id", entry_keywords: str = "keywords") -> DataFrame:
     """Catalog entries by number of query keywords that contain, or lie in, one of theirs.
 
-    "One lies in the other" is an equality between one keyword and a piece of the
-    other, so both directions are hash joins on distinct keywords. A query without
-    keywords asks for nothing in particular and gets every entry with score 0, so the
-    result holds the whole catalog once per such query.
+    A query without keywords asks for nothing in particular: it has one row with score 0 and no entry,
+    which stands for every entry. ``top_entries`` resolves it.
     """
     asked = queries.select(query_id, F.explode(F.transform(keywords, F.lower)).alias("kw"))
     listed = catalog.select(entry_id, F.explode(F.array_distinct(entry_keywords)).alias("dk"))
     kws, dks = asked.select("kw").distinct(), listed.select("dk").distinct()
-    inside = kws.withColumn("dk", F.explode(_pieces(F.col("kw")))).join(dks, "dk", "left_semi")
-    around = dks.withColumn("kw", F.explode(_pieces(F.col("dk")))).join(kws, "kw", "left_semi")
-    pairs = inside.unionByName(around).distinct()
+    pairs = contained(kws, dks).toDF("kw", "dk").unionByName(contained(dks, kws).toDF("dk", "kw")).distinct()
     hits = pairs.join(listed, "dk").select("kw", entry_id).distinct()
     counted = asked.groupBy(query_id, "kw").agg(F.count("*").alias("_n"))
     scored = counted.join(hits, "kw").groupBy(query_id, entry_id).agg(F.sum("_n").alias("score"))
     blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct()
-    every = catalog.select(entry_id).distinct()
-    return scored.unionByName(blank.crossJoin(every).withColumn("score", F.lit(0).cast("long")))
+    entry = F.lit(None).cast(catalog.schema[entry_id].dataType)
+    return scored.unionByName(blank.select(query_id, entry.alias(entry_id), F.lit(0).cast("long").alias("score")))
+
+
+def top_entries(scores: DataFrame, catalog: DataFrame, n: int, query_id: str = "query_id", entry_id: str = "dataset_id") -> DataFrame:
+    """(query, entry, score, rank): the ``n`` best entries of each query, equal scores by entry.
+
+    A query for every entry gets the first ``n`` of the catalog, which are all that it needs of it.
+    """
+    first = catalog.select(entry_id).distinct().orderBy(entry_id).limit(n)
+    some = scores.where(F.col(entry_id).isNull()).select(query_id, "score", F.lit(0).alias("_k"))
+    every = some.join(F.broadcast(first.withColumn("_k", F.lit(0))), "_k").select(query_id, entry_id, "score")  # n rows
+    named = first_per_group(scores.where(F.col(entry_id).isNotNull()), [query_id], [F.col("score").desc(), F.col(entry_id)], n)
+    order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(entry_id))
+    return named.unionByName(every).withColumn("rank", F.row_number().over(order))
+
+
+def keyword_buckets(queries: DataFrame, buckets: DataFrame, n: int | None = None, query_id: str = "query_id", keywords: str = "keywords",
+                    bucket: str = "bucket", key: str = "keyword", place: str = "place") -> DataFrame:
+    """(query, bucket, place): the buckets whose keyword lies in a query's joined keywords, the first ``n`` by place.
+
+    A query without keywords gets all buckets. ``buckets`` is a small table of topics.
+    """
+    text = F.lower(F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
+    asked = queries.select(query_id, text.alias("_text"), (F.coalesce(F.size(keywords), F.lit(0)) <= 0).alias("_all"))
+    words = buckets.select(F.lower(key).alias("_word")).distinct()
+    hits = contained(words, asked.select("_text").distinct()).toDF("_word", "_text")
+    topics = buckets.select(F.lower(key).alias("_word"), bucket, place)
+    found = asked.where("NOT _all").join(hits, "_text").join(topics, "_word").select(query_id, bucket, place)
+    blank = asked.where("_all").select(query_id).withColumn("_k", F.lit(0)).join(
+        F.broadcast(buckets.select(bucket, place).withColumn("_k", F.lit(0))), "_k").select(query_id, bucket, place)
+    both = found.unionByName(blank).distinct()
+    return both if n is None else first_per_group(both, [query_id], [place], n)
 
 
 def joined_keyword_text(keywords: X.Col) -> Column:

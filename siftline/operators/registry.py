@@ -2,12 +2,18 @@
 
 A registry is kept as two append-only tables: entries, and sightings of entries. Each
 batch writes its own partition of both and overwrites it when it is replayed, so a lost
-executor or a restarted stream never counts a post twice, and a batch costs its own size,
-not the size of the registry. The registry as it stands is entries plus summed sightings.
+executor or a restarted stream never counts a post twice. Posts are looked up in a kept
+index (``textindex``), of which a batch reads the partitions of its own tokens. The
+registry as it stands is entries plus summed sightings.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +21,16 @@ from pyspark.sql.utils import AnalysisException
 
 from siftline.functions import text as X
 from siftline.operators import similarity as S
+from siftline.operators.components import components
 from siftline.operators.ranking import first_per_group
+from siftline.operators.textindex import TextIndex
 from siftline.schemas import MODEL_REGISTRY, PROBLEM_REGISTRY
 from siftline.session import cut
 
+# Helpers travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+COMPONENT_LINKS = 200_000
 BATCH_STRIDE = 2**40  # registry_seq = batch * stride + position in the batch
 ENTRY = T.StructType(
     [f for f in PROBLEM_REGISTRY.fields if f.name not in ("last_seen", "seen_count", "task_types")] + [T.StructField("batch", T.LongType())]
@@ -51,30 +63,51 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 # -- the first of similar posts ---------------------------------------------
 
 
-def leaders(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """The dropped texts of one component, taken one by one in order of ``rfirst``."""
+    dropped, kept = [], set()
+    links = links.sort_values(["rfirst", "rk"])
+    starts = set(links["lk"]) - set(links["rk"])
+    kept |= starts
+    for rk, own in links.groupby("rk", sort=False):
+        if kept.isdisjoint(own["lk"]):
+            kept.add(rk)
+        else:
+            dropped.append(rk)
+    return pd.DataFrame({"k": pd.Series(dropped, dtype=object)})
+
+
+def leaders(sets: DataFrame, pairs: DataFrame, rounds: int = 2, most: int = COMPONENT_LINKS) -> DataFrame:
     """(k): texts that no earlier kept text resembles, as when posts are taken one by one.
 
-    ``sets``: (k, first); ``pairs``: similar (lk, rk) with lk earlier. A text is kept once
-    all earlier similar ones are dropped, and dropped once one of them is kept; each round
-    settles every text whose earlier ones are settled.
+    ``sets``: (k, first); ``pairs``: similar (lk, rk) with lk earlier. A text is kept once all
+    earlier similar ones are dropped, and dropped once one of them is kept. A round settles every
+    text whose earlier ones are settled, and only the links between open texts go on. After a few
+    rounds the connected components that are left are settled in one task each, where they have
+    ``most`` links or fewer; only larger ones need more rounds.
     """
-    linked = cut(pairs.select("lk", "rk").distinct())
-    kept = sets.join(linked.select(F.col("rk").alias("k")), "k", "left_anti").select("k")
-    kept = cut(kept)
-    dropped = cut(linked.join(kept, F.col("lk") == F.col("k"), "left_semi").select(F.col("rk").alias("k")).distinct())
-    open_ = cut(
-        linked.select(F.col("rk").alias("k")).distinct().join(dropped, "k", "left_anti")
-    )
+    order = sets.select(F.col("k").alias("rk"), F.col("first").alias("rfirst"))
+    open_ = cut(pairs.select("lk", "rk").distinct().join(order, "rk"))
+    dropped, done = [], 0
     while not open_.isEmpty():
-        # Links to dropped texts no longer matter; a text without other links is kept.
-        live = linked.join(open_, F.col("rk") == F.col("k"), "left_semi").join(
-            dropped.withColumnRenamed("k", "lk"), "lk", "left_anti")
-        blocked = live.select(F.col("rk").alias("k")).distinct()
-        new = cut(open_.join(blocked, "k", "left_anti"))
-        kept = cut(kept.unionByName(new))
-        gone = live.join(new, F.col("lk") == F.col("k"), "left_semi").select(F.col("rk").alias("k")).distinct()
-        dropped = cut(dropped.unionByName(gone))
-        open_ = cut(open_.join(new, "k", "left_anti").join(gone, "k", "left_anti"))
+        if done == rounds:
+            of = components(open_, "lk", "rk").select(F.col("node").alias("rk"), "root")
+            placed = cut(open_.join(of, "rk"))
+            small = placed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("root")
+            within = placed.join(small, "root", "left_semi")
+            dropped.append(cut(within.select("root", "lk", "rk", "rfirst").groupBy("root").applyInPandas(_greedy, "k string")))
+            open_ = cut(placed.join(small, "root", "left_anti").drop("root"))
+            done += 1
+            continue
+        first = open_.select(F.col("lk").alias("k")).distinct().join(open_.select(F.col("rk").alias("k")).distinct(), "k", "left_anti")
+        gone = cut(open_.join(first, F.col("lk") == F.col("k"), "left_semi").select(F.col("rk").alias("k")).distinct())
+        dropped.append(gone)
+        rest = open_.join(gone, F.col("rk") == F.col("k"), "left_anti")
+        open_ = cut(rest.join(gone, F.col("lk") == F.col("k"), "left_anti"))
+        done += 1
+    kept = sets.select("k")
+    for gone in dropped:
+        kept = kept.join(gone, "k", "left_anti")
     return kept
 
 
@@ -83,7 +116,7 @@ def group_batch(df: DataFrame, threshold: float = 0.90, ident: str = "seq", text
     """(seq, leader, similarity): every post with the kept post it repeats, or with itself."""
     members, sets = S._distinct_texts(df, ident, text, 1.0)
     sets = cut(sets)
-    sims = cut(S.similar_texts(sets, sets, threshold, boost).where(F.col("l_first") < F.col("r_first")))
+    sims = cut(S.similar_texts(sets, sets, threshold, boost, earlier=True))
     kept = leaders(sets, sims)
     follow = sims.join(kept.withColumnRenamed("k", "lk"), "lk", "left_semi").join(
         kept.withColumnRenamed("k", "rk"), "rk", "left_anti")
@@ -101,6 +134,7 @@ class ProblemRegistry:
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = 0.90):
         self.spark, self.path, self.threshold = spark, path.rstrip("/"), threshold
+        self.index = TextIndex(spark, f"{self.path}/index", threshold, self.entries)
 
     def entries(self, before: int | None = None) -> DataFrame:
         df = _read(self.spark, f"{self.path}/entries", ENTRY)
@@ -135,8 +169,11 @@ class ProblemRegistry:
         ).select(*[f.name for f in PROBLEM_REGISTRY.fields])
 
     def check(self, df: DataFrame, ident: str = "seq", before: int | None = None) -> DataFrame:
-        """(seq, registry_seq, similarity) of posts that are registered already."""
-        return S.best_match(df, self.entries(before), self.threshold, query=ident)
+        """(seq, registry_seq, similarity) of posts that are registered already, before a batch or at all."""
+        if before is None:
+            last = self.entries().agg(F.max("batch")).first()[0]
+            before = 0 if last is None else last + 1
+        return self.index.best_match(df, before, ident)
 
     def register(self, posts: DataFrame, batch: int, now: Column | None = None) -> None:
         """Register a batch. ``posts``: seq, title, description, source, url, task_type, dataset_id.
@@ -168,12 +205,13 @@ class ProblemRegistry:
         hits = to_new.unionByName(to_old).unionByName(moved).join(p, "seq")
         sightings = hits.groupBy("registry_seq", "dataset_id", "task_type").agg(
             F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("_now").alias("seen_at"))
+        entries = cut(entries)
         entries.write.mode("overwrite").parquet(f"{self.path}/entries/batch={batch}")
+        self.index.add(batch, entries)
         sightings.write.mode("overwrite").parquet(f"{self.path}/sightings/batch={batch}")
 
     def _earlier_and_closer(self, again: DataFrame, added: DataFrame, known: DataFrame) -> DataFrame:
-        _, qs = S._distinct_texts(again, "seq", "signature", 1.0)
-        members, _ = S._distinct_texts(again, "seq", "signature", 1.0)
+        members, qs = S._distinct_texts(again, "seq", "signature", 1.0)
         _, rs = S._distinct_texts(added, "registry_seq", "signature", 1.0)
         sims = S.similar_texts(cut(qs), cut(rs), self.threshold)
         pairs = members.join(sims, F.col("k") == F.col("lk")).where(F.col("r_first") < F.col("id"))
@@ -198,6 +236,103 @@ def allowed_runs(runs: DataFrame, checked: DataFrame, ident: str = "id") -> Data
     return runs.join(checked.where("blocked"), ident, "left_anti")
 
 
+ADMITTED = "seq long, admitted boolean, similar string, similarity double"
+
+
+class _Group:
+    """Entries of one group of similar signatures, and who resembles whom."""
+
+    def __init__(self):
+        self.near: dict[str, list[tuple[str, float]]] = {}
+        self.entries: dict[str, list] = {}  # signature: [place, times trained]
+        self.first: dict[str, str] = {}  # text: its first signature
+
+    def enter(self, k: str, signature: str, n: int) -> None:
+        self.entries[signature] = [len(self.entries), n]
+        self.first.setdefault(k, signature)
+
+    def decide(self, k: str, signature: str, limit: int) -> tuple[bool, str | None, float | None]:
+        """Is the run taken? By the entry most similar to it, the first one among equals."""
+        best = None
+        for other, sim in [(k, 1.0), *self.near.get(k, [])]:
+            if other in self.first:
+                name = self.first[other]
+                rank = (-sim, self.entries[name][0])
+                if best is None or rank < best[0]:
+                    best = (rank, name, sim)
+        if best is not None and self.entries[best[1]][1] >= limit:
+            return False, best[1], best[2]
+        if signature in self.entries:
+            self.entries[signature][1] += 1
+        else:
+            self.enter(k, signature, 1)
+        return True, *(best[1:] if best else (None, None))
+
+
+def _decide(limit: int):
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs in order, group by group; a group's signatures are held, not its runs."""
+        root, group = None, _Group()
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.root != root:
+                    root, group = r.root, _Group()
+                if r.kind == 0:
+                    group.near.setdefault(r.k, []).append((r.other, r.similarity))
+                elif r.kind == 1:
+                    group.enter(r.k, r.signature, int(r.n))
+                else:
+                    out.append((int(r.seq), *group.decide(r.k, r.signature, limit)))
+            if out:
+                yield pd.DataFrame(out, columns=["seq", "admitted", "similar", "similarity"])
+
+    return decide
+
+
+def admit_runs(registry: DataFrame, runs: DataFrame, threshold: float = 0.85, limit: int = 2) -> DataFrame:
+    """(seq, admitted, similar, similarity): each run in order, as if registered one by one.
+
+    A run is refused if the entry most similar to it, at or above the threshold, has been trained
+    ``limit`` times; else it counts for its own signature, a new entry if there is none.
+
+    Signatures are grouped by similarity; groups are dealt out and their runs pass in order by a state
+    of one count per signature. Of a streak of runs of one signature without another one of the group in
+    between, only the first ``limit + 1`` are looked at: the others are decided like the last of these.
+    """
+    runs = runs.select("seq", "signature")
+    every = registry.select(F.col("registry_seq").alias("seq"), "signature").unionByName(runs)
+    members, sets = S._distinct_texts(every.select("signature").distinct(), "signature", "signature", 0.0)
+    sets = cut(sets)
+    near = cut(S.similar_texts(sets, sets, threshold, boost=False, earlier=True).select("lk", "rk", "similarity"))
+    of = components(near, "lk", "rk")
+    texts = members.select(F.col("id").alias("signature"), "k").join(of.withColumnRenamed("node", "k"), "k", "left")
+    texts = cut(texts.withColumn("root", F.coalesce("root", "k")))
+    none = {"string": F.lit(None).cast("string"), "double": F.lit(None).cast("double"), "long": F.lit(0).cast("long")}
+    both = near.unionByName(near.select(F.col("rk").alias("lk"), F.col("lk").alias("rk"), "similarity"))
+    links = both.join(of, F.col("lk") == F.col("node")).select(
+        "root", F.lit(0).alias("kind"), none["long"].alias("seq"), F.col("lk").alias("k"), F.col("rk").alias("other"), "similarity",
+        none["string"].alias("signature"), none["long"].alias("n"))
+
+    def events(df: DataFrame, kind: int, n) -> DataFrame:
+        return df.join(texts, "signature").select(
+            "root", F.lit(kind).alias("kind"), "seq", "k", none["string"].alias("other"), none["double"].alias("similarity"), "signature", n.alias("n"))
+
+    had = events(registry.select(F.col("registry_seq").alias("seq"), "signature", F.col("train_count").cast("long").alias("count")), 1, F.col("count"))
+    w = Window.partitionBy("root").orderBy("seq")
+    run = events(runs, 2, none["long"])
+    # The place within a streak: runs of the group so far less runs of the signature so far stay equal in it.
+    lead = run.withColumn("_streak", F.row_number().over(w) - F.row_number().over(Window.partitionBy("root", "signature").orderBy("seq")))
+    lead = lead.withColumn("_at", F.row_number().over(Window.partitionBy("root", "signature", "_streak").orderBy("seq")))
+    lead = cut(lead)
+    looked = lead.where(F.col("_at") <= limit + 1).drop("_streak", "_at")
+    stream = links.unionByName(had).unionByName(looked)
+    decided = cut(stream.repartition("root").sortWithinPartitions("root", "kind", "seq").mapInPandas(_decide(limit), ADMITTED))
+    last = lead.where(F.col("_at") == limit + 1).select("seq", "root", "signature", "_streak").join(decided, "seq").select("root", "signature", "_streak", "admitted", "similar", "similarity")
+    more = lead.where(F.col("_at") > limit + 1).select("seq", "root", "signature", "_streak").join(last, ["root", "signature", "_streak"])
+    return decided.unionByName(more.select("seq", "admitted", "similar", "similarity"))
+
+
 def refused_models(registry: DataFrame, runs: DataFrame, limit: int = 2) -> DataFrame:
     """The runs that ``register_models`` does not take, as their signature has ``limit`` already."""
     return runs.join(_with_room(registry, runs, limit).select("signature", "seq"), ["signature", "seq"], "left_anti")
@@ -210,14 +345,19 @@ def _with_room(registry: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
     return room
 
 
-def register_models(registry: DataFrame, runs: DataFrame, limit: int = 2) -> DataFrame:
+def register_models(registry: DataFrame, runs: DataFrame, limit: int = 2, threshold: float | None = None) -> DataFrame:
     """The registry after the runs: same signature counts up and appends, others are new entries.
 
+    With a ``threshold`` runs similar to an entry at its limit are refused too, run by run (``admit_runs``).
+
     ``runs``: seq, signature, problem, dataset, task_type, model_path, metrics, trained_at.
     A signature trained ``limit`` times takes no more runs, which bounds its lists; those left
     over are what ``refused_models`` returns.
     """
-    room = _with_room(registry, runs, limit)
+    if threshold is None:
+        room = _with_room(registry, runs, limit)
+    else:
+        room = runs.join(admit_runs(registry, runs, threshold, limit).where("admitted").select("seq"), "seq", "left_semi")
     new = room.groupBy("signature").agg(
         F.min("seq").alias("_seq"), F.count("*").alias("_n"),
         F.sort_array(F.collect_list(F.struct("seq", "model_path", "metrics", "trained_at"))).alias("_runs"),

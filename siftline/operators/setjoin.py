@@ -1,104 +1,138 @@
 """Exact set-similarity join on token sets.
 
-Two sets with Jaccard similarity t or more share one of their rarest tokens: when
-tokens are ordered by how many sets hold them, the first |x| - ceil(t |x|) + 1 tokens
-of each are enough to find every such pair. So only those are joined, on token
-equality, and common words hardly ever take part. Length and position bounds drop
-most remaining candidates inside the join; the rest is verified on whole sets.
+Two sets with Jaccard similarity t or more share one of their rarest tokens: under any
+total order of tokens the first |x| - ceil(t |x|) + 1 tokens of each set are enough to
+find every such pair. So only those are joined, on token equality. The order is rarity as
+counted in hashed counters: with a bounded table of counts every set is ordered where it
+is, without a join or a shuffle, and common words hardly ever take part. Length and
+position bounds drop most remaining candidates inside the join; the rest is verified on
+whole sets.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.session import cut
 
 EPS = 1e-9
-# A token in more than 1/HOT of all rows is hot; there are at most HOT of those.
+# At most so many hot tokens are broadcast.
 HOT = 1000
 CHUNK = 50_000
+COUNTERS = 1 << 16
+
+
+# -- the order of tokens ----------------------------------------------------
+
+
+def _rank(count: int) -> int:
+    return min(90, 1 + int(3 * math.log2(count + 1)))
+
 
+def rarity(*sets: DataFrame) -> list[int]:
+    """A number per hashed counter, 1 to 90, that grows with the count of its tokens in all ``sets``."""
+    words = [s.select(F.explode_outer("toks").alias("t")).where("t IS NOT NULL") for s in sets]
+    words = reduce(DataFrame.unionByName, words)
+    counted = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(COUNTERS)).cast("int").alias("c")).count().collect()
+    table = [1] * COUNTERS
+    for r in counted:  # at most COUNTERS rows
+        table[r["c"]] = _rank(r["count"])
+    return table
 
-def _hot(counts: DataFrame) -> DataFrame:
-    """The tokens of a (t, f) table that hold over 1/HOT of its rows: at most HOT of them."""
-    total = counts.agg(F.coalesce(F.sum("f"), F.lit(0))).scalar()
-    return counts.where(F.col("f") * HOT > total)
 
+def keys(tokens: Column | str, table: Sequence[int]) -> Column:
+    """Tokens as (rarity, 56 bits of hash) in one number each, rarest first."""
+    # The table as 256 texts of 256 characters: a constant that is cheap to compare and to look into.
+    lines = ["".join(chr(32 + x) for x in table[i : i + 256]) for i in range(0, len(table), 256)]
+    ranks = F.array(*[F.lit(x) for x in lines])
 
-def _with_frequency(exploded: DataFrame, freq: DataFrame) -> DataFrame:
-    """Add the token frequency ``f``, 0 for tokens not counted.
+    def key(token: Column) -> Column:
+        h = F.xxhash64(token)
+        c = F.pmod(h, F.lit(len(table))).cast("int")
+        rank = F.ascii(F.substring(F.get(ranks, F.shiftright(c, 8)), c.bitwiseAND(F.lit(255)) + 1, F.lit(1))) - 32
+        return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    Hot tokens take it from a broadcast of at most HOT rows. In the shuffled lookup of
-    the others they are replaced by a key that spreads them, so no task gets them all.
+    return F.sort_array(F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, key))
+
+
+def prefixes(sets: DataFrame, table: Sequence[int], threshold: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """(k, n, carried columns, pos, t): the prefix tokens of each set with their 0-based position."""
+    n = F.size("toks")
+    length = n - F.ceil(threshold * n - EPS).cast("int") + 1
+    some = F.slice(keys("toks", table), F.lit(1), F.least(F.greatest(length, F.lit(1)), n))
+    return sets.select("k", n.alias("n"), *carry, F.posexplode(some).alias("pos", "t"))
+
+
+def may_reach(a: str, b: str, threshold: Column) -> Column:
+    """Can the sets behind two rows of one prefix token reach the threshold?
+
+    By their sizes, and by the tokens that are left from the shared one on.
     """
-    hot = _hot(freq).select("t", F.col("f").alias("hf"))
-    x = exploded.join(F.broadcast(hot), "t", "left")
-    x = x.withColumn("_t", F.when(F.col("hf").isNull(), F.col("t")).otherwise(F.concat(F.lit("\0"), F.col("k"))))
-    x = x.join(freq.select(F.col("t").alias("_t"), "f"), "_t", "left")
-    return x.withColumn("f", F.coalesce("hf", "f", F.lit(0))).drop("hf", "_t")
-
-
-def _by_rarity(sets: DataFrame, freq: DataFrame) -> DataFrame:
-    """(k [, thr], n, toks): tokens of each set, rarest first."""
-    thr = ["thr"] if "thr" in sets.columns else []
-    exploded = sets.select("k", *thr, F.explode("toks").alias("t"))
-    ordered = (
-        _with_frequency(exploded, freq).groupBy("k", *thr)
-        .agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
-    )
-    return ordered.select("k", *thr, F.col("ft.t").alias("toks"), F.size("ft").alias("n"))
+    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
+    room = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos"))
+    return (bn >= threshold * an - EPS) & (an >= threshold * bn - EPS) & (room >= threshold / (1 + threshold) * (an + bn) - EPS)
 
 
-def _prefix(sets: DataFrame, thr: Column) -> DataFrame:
-    """(k, n, t, pos [, thr]): the prefix tokens with their 0-based position."""
-    length = F.col("n") - F.ceil(thr * F.col("n") - EPS).cast("int") + 1
-    keep = [c for c in ("k", "n", "thr") if c in sets.columns]
-    return sets.select(*keep, F.posexplode(F.slice("toks", F.lit(1), F.least(F.greatest(length, F.lit(1)), F.col("n")))).alias("pos", "t"))
+# -- candidates -------------------------------------------------------------
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
+def candidates(
+    left: DataFrame, right: DataFrame, threshold: float | None = None, carry: Sequence[str] = (), where: str | None = None,
+    table: Sequence[int] | None = None,
+) -> DataFrame:
     """(lk, rk) pairs among which are all with Jaccard >= threshold, each once.
 
     ``left`` and ``right``: (k, toks), k unique, toks distinct and not empty. ``left`` may
     carry its own threshold per row in ``thr``; a pair must share a token at any threshold.
+    ``where`` is a condition on the columns ``carry`` of both sides, as ``a.x`` and ``b.x``.
     """
+    table = table or (rarity(right) if left is right else rarity(left, right))
     left = left if "thr" in left.columns else left.withColumn("thr", F.lit(float(threshold)))
-    freq = cut(right.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("f")))
-    lsets = _by_rarity(left, freq)
-    rsets = cut(_by_rarity(right, freq))
     least = threshold if threshold is not None else left.agg(F.min("thr")).scalar()
-    lp = _prefix(lsets, F.col("thr"))
-    rp = _prefix(rsets, least if isinstance(least, Column) else F.lit(float(least)))
+    lp = prefixes(left, table, F.col("thr"), ("thr", *carry))
+    rp = prefixes(right, table, least if isinstance(least, Column) else F.lit(float(least)), carry)
+    if threshold is None:  # few left rows may be asked: right rows of other tokens go nowhere
+        rp = rp.join(lp.select("t").distinct(), "t", "left_semi")
 
-    # Rows of a token that is hot on either side meet in a grid: each side is cut into chunks of
-    # CHUNK rows, and each chunk goes to all chunks of the other side.
+    on = (F.col("a.t") == F.col("b.t")) & may_reach("a", "b", F.col("a.thr"))
+    if where:
+        on = on & F.expr(where)
+    hot = _hot(lp, rp, table)
+    if hot is not None:
+        lp, rp = _in_a_grid(lp, hot, "l"), _in_a_grid(rp, hot, "r")
+        on = on & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+    return lp.alias("a").join(rp.alias("b"), on).select(F.col("a.k").alias("lk"), F.col("b.k").alias("rk")).distinct()
+
+
+def _hot(lp: DataFrame, rp: DataFrame, table: Sequence[int]) -> DataFrame | None:
+    """(t, sl, sr): the tokens with over CHUNK prefix rows on a side, and the chunks each side is cut into.
+
+    A token's rows are no more than the count behind its rarity, so that only frequent tokens are counted.
+    """
+    frequent = _rank(CHUNK)
+    if max(table) < frequent:
+        return None
+    lp, rp = (x.select("t").where(F.shiftright("t", 56) >= frequent) for x in (lp, rp))
     counts = (
-        rp.select("t", F.lit(0).alias("l")).unionByName(lp.select("t", F.lit(1).alias("l"))).groupBy("t")
+        rp.withColumn("l", F.lit(0)).unionByName(lp.withColumn("l", F.lit(1))).groupBy("t")
         .agg(F.sum("l").alias("fl"), F.sum(1 - F.col("l")).alias("fr"))
     )
     chunks = {f"s{x}": F.ceil(F.col(f"f{x}") / CHUNK).cast("int") for x in "lr"}
-    hot = counts.where((F.greatest("fl", "fr") > CHUNK) & (F.least("fl", "fr") > 0)).withColumns(chunks).drop("fl", "fr")
-    hot = cut(hot)
-    if hot.limit(HOT + 1).count() <= HOT:
-        hot = F.broadcast(hot)
-    own, other = ({x: F.coalesce(f"s{y}", F.lit(1)) for x, y in pairs} for pairs in (("ll", "rr"), ("lr", "rl")))
-    sides = {}
-    for x, rows in (("l", lp), ("r", rp)):
-        dealt = rows.join(hot, "t", "left").withColumn("own", F.pmod(F.xxhash64("k"), own[x]).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), other[x] - 1))).drop("sl", "sr")
-        sides[x] = dealt
-    lp, rp = sides["l"], sides["r"]
-
-    a, b = lp.alias("a"), rp.alias("b")
-    ln, rn, thr = F.col("a.n"), F.col("b.n"), F.col("a.thr")
-    room = F.least(ln - F.col("a.pos"), rn - F.col("b.pos"))
-    on = (
-        (F.col("a.t") == F.col("b.t")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
-        & (rn >= thr * ln - EPS) & (ln >= thr * rn - EPS)
-        & (room >= thr / (1 + thr) * (ln + rn) - EPS)
-    )
-    return a.join(b, on).select(F.col("a.k").alias("lk"), F.col("b.k").alias("rk")).distinct()
+    hot = cut(counts.where((F.greatest("fl", "fr") > CHUNK) & (F.least("fl", "fr") > 0)).withColumns(chunks).drop("fl", "fr"))
+    n = hot.limit(HOT + 1).count()
+    return None if n == 0 else F.broadcast(hot) if n <= HOT else hot
+
+
+def _in_a_grid(rows: DataFrame, hot: DataFrame, side: str) -> DataFrame:
+    """Rows of a hot token cut into chunks, each once for every chunk of the other side."""
+    mine, others = (F.coalesce(f"s{x}", F.lit(1)) for x in (side, "r" if side == "l" else "l"))
+    dealt = rows.join(hot, "t", "left").withColumn("own", F.pmod(F.xxhash64("k"), mine).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).drop("sl", "sr")
 
 
 def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +140,16 @@ def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, extra: tuple[str
     l = left.select(F.col("k").alias("lk"), F.col("toks").alias("lt"), *[F.col(c).alias(f"l_{c}") for c in extra])
     r = right.select(F.col("k").alias("rk"), F.col("toks").alias("rt"), *[F.col(c).alias(f"r_{c}") for c in extra])
     both = pairs.join(l, "lk").join(r, "rk")
-    return both.withColumn("jaccard", jaccard("lt", "rt")).drop("lt", "rt")
+    both = once(both, F.size(F.array_intersect("lt", "rt")), "_shared").withColumn("_union", F.size("lt") + F.size("rt") - F.col("_shared"))
+    return both.withColumn("jaccard", F.when(F.col("_union") > 0, F.col("_shared") / F.col("_union")).otherwise(0.0)).drop("lt", "rt", "_shared", "_union")
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column that is computed once, however often it is used above.
+
+    Filters and projections above a plain column would each take a copy of its expression.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def jaccard(a: Column | str, b: Column | str, both_empty: float = 0.0) -> Column:

@@ -16,6 +16,7 @@ from siftline.session import cut
 
 STEP = 0.1  # what a shared key term adds
 CONTAINED = 0.2  # what one text containing the other adds
+MIN_LEVEL = 1e-6  # below any similarity of texts that share a token
 
 
 # -- column functions -------------------------------------------------------
@@ -44,13 +45,9 @@ def text_similarity(a: X.Col, b: X.Col, boost: bool = True, both_empty: float =
 
 
 def _boosted(sim: Column, la: Column, lb: Column, na: Column, nb: Column) -> Column:
-    within = la.contains(lb) | lb.contains(la)
-    return (
-        F.when((na == 0) | (nb == 0), sim)
-        .when(X.trimmed(la) == X.trimmed(lb), 1.0)
-        .when(within, F.least(sim + CONTAINED, F.lit(1.0)))
-        .otherwise(sim)
-    )
+    """Equal texts have equal tokens, hence 1; of two texts the longer one may contain the other."""
+    within = F.when(F.length(la) >= F.length(lb), la.contains(lb)).otherwise(lb.contains(la))
+    return F.when((na == 0) | (nb == 0) | (sim >= 1), sim).when(within, F.least(sim + CONTAINED, F.lit(1.0))).otherwise(sim)
 
 
 def term_mask(text: X.Col, terms: Sequence[str]) -> Column:
@@ -75,27 +72,42 @@ def _distinct_texts(df: DataFrame, ident: str, text: str, both_empty: float) ->
     """(id, k) and one row per distinct lower-case text: (k, first, low, toks, ntok)."""
     low = df.select(F.col(ident).alias("id"), F.lower(X.blank(text)).alias("low")).withColumn("k", F.md5("low"))
     members = low.select("id", "k")
-    sets = low.groupBy("k").agg(F.min("id").alias("first"), F.min("low").alias("low"))
-    toks = F.array_distinct(X.tokens("low"))
-    sets = sets.withColumn("toks", toks).withColumn("ntok", F.size("toks"))
+    return members, with_tokens(low.groupBy("k").agg(F.min("id").alias("first"), F.min("low").alias("low")), both_empty)
+
+
+def with_tokens(texts: DataFrame, both_empty: float) -> DataFrame:
+    """Add ``toks``, the distinct tokens of ``low``, and their number ``ntok``."""
+    sets = texts.withColumn("toks", F.array_distinct(X.tokens("low"))).withColumn("ntok", F.size("toks"))
     if both_empty > 0:  # texts without tokens match each other: give them one common token
-        sets = sets.withColumn("toks", F.when(F.col("ntok") == 0, F.array(F.lit(""))).otherwise(F.col("toks")))
-    else:
-        sets = sets.where("ntok > 0")
-    return members, sets
+        return sets.withColumn("toks", F.when(F.col("ntok") == 0, F.array(F.lit(""))).otherwise(F.col("toks")))
+    return sets.where("ntok > 0")
+
+
+def jaccard_floor(threshold: float, boost: bool) -> float:
+    """The Jaccard similarity that a pair at the threshold has at least."""
+    return max(threshold - (CONTAINED if boost else 0.0), 1e-6)
 
 
-def similar_texts(left: DataFrame, right: DataFrame, threshold: float, boost: bool = True) -> DataFrame:
-    """(lk, rk, similarity) of all pairs of distinct texts at or above the threshold."""
-    floor = max(threshold - (CONTAINED if boost else 0.0), 1e-6)
-    pairs = J.candidates(left, right, floor)
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float, boost: bool = True, earlier: bool = False) -> DataFrame:
+    """(lk, rk, similarity) of all pairs of distinct texts at or above the threshold.
+
+    With ``earlier`` only pairs whose left text came first.
+    """
+    where = "a.first < b.first" if earlier else None
+    pairs = J.candidates(left, right, jaccard_floor(threshold, boost), ("first",) if earlier else (), where)
+    return score_pairs(pairs, left, right, threshold, boost)
+
+
+def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, boost: bool = True) -> DataFrame:
+    """The (lk, rk) ``pairs`` at or above the threshold, measured on whole texts."""
     extra = ("low", "ntok", "first")
     checked = J.verify(pairs, left, right, extra)
+    checked = checked.where(F.col("jaccard") >= jaccard_floor(threshold, boost) - J.EPS)
     sim = F.col("jaccard")
     if boost:
         sim = _boosted(sim, F.col("l_low"), F.col("r_low"), F.col("l_ntok"), F.col("r_ntok"))
     return (
-        checked.withColumn("similarity", sim).where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
+        J.once(checked, sim, "similarity").where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
         .select("lk", "rk", "similarity", F.col("l_first"), F.col("r_first"))
     )
 
@@ -118,7 +130,11 @@ def best_match(
     """
     members, qs = _distinct_texts(df, query, query_text, both_empty)
     _, rs = _distinct_texts(registry, entry, entry_text, both_empty)
-    sims = similar_texts(cut(qs), cut(rs), threshold, boost)
+    return best_of_pairs(members, similar_texts(cut(qs), cut(rs), threshold, boost), query, entry)
+
+
+def best_of_pairs(members: DataFrame, sims: DataFrame, query: str, entry: str) -> DataFrame:
+    """The best entry of each member's text, the first one among equals."""
     best = sims.groupBy(F.col("lk").alias("k")).agg(
         F.max(F.struct("similarity", (-F.col("r_first")).alias("neg"))).alias("b")
     )
@@ -226,35 +242,43 @@ def _match_text(problems, catalog, threshold, k, terms, problem, dataset, ptext,
         )
 
     # First pass: all pairs at a similarity that common words alone do not reach.
-    first_thr = max(min(threshold, 0.2), 1e-6) if terms else threshold
-    seeds = p_sets.join(fallback.select("mask", "rk"), "mask").select(F.col("k").alias("lk"), "rk").distinct()
     usable_p, usable_d = p_sets.where(F.size("toks") > 0), d_sets.where(F.size("toks") > 0)
-    pairs = J.candidates(usable_p, usable_d, first_thr).unionByName(seeds).distinct()
+    table = J.rarity(usable_p, usable_d)
+    level = max(min(threshold, 0.2), MIN_LEVEL) if terms else threshold
+    seeds = p_sets.join(fallback.select("mask", "rk"), "mask").select(F.col("k").alias("lk"), "rk").distinct()
+    pairs = J.candidates(usable_p, usable_d, level, table=table).unionByName(seeds).distinct()
     top = cut(score(pairs))
 
-    # What a pair not seen yet would need to change a post's result.
-    state = top.groupBy("p").agg(
-        F.count_if(F.col("sim") >= threshold).alias("hits"), F.max("sim").alias("best"), F.min("sim").alias("worst"),
-        F.count("*").alias("n"),
+    # Further rounds: the Jaccard similarity down to which all pairs are known falls. A post stays while
+    # a pair below it could change its result, and takes only pairs that still could.
+    bound = f"a.bar - {STEP} * bit_count(a.mask & b.mask) - {J.EPS}"
+    room = "least(a.n - a.pos, b.n - b.pos)"
+    reaches = f"{room} / (a.n + b.n - {room}) >= {bound}"
+    for lower in (level / 2, level / 4, MIN_LEVEL):
+        need = cut(_open_posts(usable_p, top, most, threshold, k).where(F.col("thr") < level))
+        if level <= MIN_LEVEL or need.isEmpty():
+            break
+        level = max(lower, MIN_LEVEL)
+        asked = need.withColumn("thr", F.greatest("thr", F.lit(level)))
+        right = usable_d.withColumn("bar", F.lit(0.0))
+        more = score(J.candidates(asked, right, carry=("mask", "bar"), where=reaches, table=table))
+        top = cut(first_per_group(top.unionByName(more).distinct(), ["p"], [F.col("sim").desc(), "d"], k))
+    return p_members.withColumnRenamed("id", "pid").join(top, F.col("k") == F.col("p")).select(
+        F.col("pid").alias("p"), "d", "sim"
     )
+
+
+def _open_posts(posts: DataFrame, top: DataFrame, most: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(k, toks, mask, bar, thr): what a pair not seen yet needs to change a post's result, and the Jaccard that takes."""
+    state = top.groupBy("p").agg(
+        F.count_if(F.col("sim") >= threshold).alias("hits"), F.max("sim").alias("best"), F.min("sim").alias("worst"))
     bar = (
-        F.when((F.col("hits") >= k), F.col("worst"))
+        F.when(F.col("hits") >= k, F.col("worst"))
         .when(F.col("hits") > 0, F.lit(threshold))
         .otherwise(F.least(F.col("best"), F.lit(threshold)))
     )
-    need = (
-        usable_p.join(F.broadcast(most), "mask").join(state, F.col("k") == F.col("p"))
-        .select("k", "toks", (bar - STEP * F.col("most") - J.EPS).alias("thr"))
-        .where(F.col("thr") < first_thr)
-        .withColumn("thr", F.greatest("thr", F.lit(1e-6)))
-    )
-    need = cut(need)
-    if not need.isEmpty():
-        more = score(J.candidates(need, usable_d))
-        top = first_per_group(top.unionByName(more).distinct(), ["p"], [F.col("sim").desc(), "d"], k)
-    return p_members.withColumnRenamed("id", "pid").join(top, F.col("k") == F.col("p")).select(
-        F.col("pid").alias("p"), "d", "sim"
-    )
+    known = posts.join(F.broadcast(most), "mask").join(state, F.col("k") == F.col("p"))
+    return known.select("k", "toks", "mask", bar.alias("bar"), (bar - STEP * F.col("most") - J.EPS).alias("thr"))
 
 
 # -- text to vector ---------------------------------------------------------

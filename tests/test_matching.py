@@ -167,3 +167,33 @@ def test_model_registry(spark):
     assert [r["seq"] for r in RG.refused_models(RG.empty_registry(spark, "model"), runs, limit=2).collect()] == [2]
     again = RG.register_models(reg, runs, limit=2)
     assert {r["signature"]: r["train_count"] for r in again.collect()} == {"a": 2, "b": 2}
+
+
+def admitted(entries, runs, threshold, limit):
+    """Runs registered one by one: entries are [signature, times]."""
+    entries, out = [list(e) for e in entries], {}
+    for seq, s in runs:
+        best = max(((jac(s, e[0]), -i) for i, e in enumerate(entries)), default=(0, 0))
+        if best[0] >= threshold and entries[-best[1]][1] >= limit:
+            out[seq] = False
+            continue
+        own = next((e for e in entries if e[0] == s), None)
+        if own is None:
+            entries.append([s, 1])
+        else:
+            own[1] += 1
+        out[seq] = True
+    return out, {e[0]: e[1] for e in entries}
+
+
+@pytest.mark.parametrize("threshold,limit", [(0.5, 2), (0.85, 1), (0.3, 3)])
+def test_runs_are_admitted_in_order(spark, threshold, limit):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(7)]
+    make = lambda: " ".join(rnd.sample(vocab, rnd.randint(2, 5)))
+    pool = [make() for _ in range(25)]
+    runs = [(i, rnd.choice(pool)) for i in range(100)] + [(100 + i, pool[0]) for i in range(40)]
+    entries = [[s, rnd.randint(1, limit)] for s in dict.fromkeys([make() for _ in range(4)] + pool[:2])]
+    reg = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(entries)], "registry_seq long, signature string, train_count int")
+    got = {r["seq"]: r["admitted"] for r in RG.admit_runs(reg, spark.createDataFrame(runs, "seq long, signature string"), threshold, limit).collect()}
+    assert got == admitted(entries, runs, threshold, limit)[0]

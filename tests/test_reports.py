@@ -92,15 +92,39 @@ def test_keyword_scores(spark):
     q = spark.createDataFrame([(0, ["Heart", "xyz", "heart"]), (1, ["classification-task"]), (2, [])], "query_id int, keywords array<string>")
     c = spark.createDataFrame([(7, ["heart", "disease"]), (8, ["classification"]), (9, ["art"])], "dataset_id int, keywords array<string>")
     got = {(r[0], r[1]): r[2] for r in I.keyword_scores(q, c).collect()}
-    assert got == {(0, 7): 2, (0, 9): 2, (1, 8): 1, (2, 7): 0, (2, 8): 0, (2, 9): 0}
+    assert got == {(0, 7): 2, (0, 9): 2, (1, 8): 1, (2, None): 0}
+    top = {(r[0], r[1]): (r[2], r[3]) for r in I.top_entries(I.keyword_scores(q, c), c, 2).collect()}
+    assert top == {(0, 7): (2, 1), (0, 9): (2, 2), (1, 8): (1, 1), (2, 7): (0, 1), (2, 8): (0, 2)}
 
 
 def test_keyword_scores_of_many_queries_without_keywords(spark):
     blank = spark.range(1500).selectExpr("CAST(id AS INT) query_id", "CAST(IF(id % 2 = 0, array(), NULL) AS array<string>) keywords")
     q = blank.unionByName(spark.createDataFrame([(5000, ["heart"])], "query_id int, keywords array<string>"))
     c = spark.createDataFrame([(7, ["heart"]), (8, ["other"]), (8, ["more"])], "dataset_id int, keywords array<string>")
-    got = {(r[0], r[1], r[2]) for r in I.keyword_scores(q, c).collect()}
+    scores = I.keyword_scores(q, c)
+    assert {tuple(r) for r in scores.collect()} == {(i, None, 0) for i in range(1500)} | {(5000, 7, 1)}
+    got = {(r[0], r[1], r[2]) for r in I.top_entries(scores, c, 9).collect()}
     assert got == {(i, d, 0) for i in range(1500) for d in (7, 8)} | {(5000, 7, 1)}
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_contained_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    short = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(0, 5))) for _ in range(120)})
+    long = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in range(120)})
+    got = {tuple(r) for r in I.contained(spark.createDataFrame([(x,) for x in short], "w string"), spark.createDataFrame([(x,) for x in long], "w string")).collect()}
+    assert got == {(a, b) for a in short for b in long if a and a in b}
+
+
+def test_keyword_buckets(spark):
+    q = spark.createDataFrame([(0, ["Climate", "x"]), (1, []), (2, None), (3, ["gen", "omics"]), (4, ["a news", "satellite climate"])], "query_id int, keywords array<string>")
+    b = spark.createDataFrame([("climate", "c", 0), ("news", "n", 1), ("genomics", "g", 2), ("satellite", "s", 3)], "keyword string, bucket string, place int")
+    got = {(r[0], r[1]) for r in I.keyword_buckets(q, b).collect()}
+    assert got == {(0, "c"), *((i, x) for i in (1, 2) for x in "cngs"), (4, "c"), (4, "n"), (4, "s")}
+    assert {(r[0], r[1]) for r in I.keyword_buckets(q, b, 2).collect()} == {(0, "c"), *((i, x) for i in (1, 2) for x in "cn"), (4, "c"), (4, "n")}
 
 
 def test_group_limit_runs_before_the_shuffle(spark, sf):
