@@ -163,6 +163,11 @@ def skip_seen(df: DataFrame, matches: DataFrame, key: str = "id") -> tuple[DataF
     return df.join(matches, key, "left_anti"), df.join(matches, key)
 
 
+def first_fresh(df: DataFrame, matches: DataFrame, key: str = "id", order: Sequence[str] = ("seq",), n: int = 1) -> DataFrame:
+    """The first ``n`` rows, in order, without a registry match: those a run goes on with."""
+    return skip_seen(df, matches, key)[0].orderBy(*order).limit(n)
+
+
 # -- catalog match ----------------------------------------------------------
 
 

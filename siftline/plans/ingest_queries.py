@@ -234,6 +234,49 @@ def catalog_keyword_join(spark, sf_dir):
     return I.keyword_scores(q, c).select("dataset_id", "score")
 
 
+_ASKED = """q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 = 0 THEN []::VARCHAR[] ELSE [lower(c_mktsegment),
+    CASE c_nationkey % 5 WHEN 0 THEN 'ring' WHEN 1 THEN 'gear box' WHEN 2 THEN 'ol' WHEN 3 THEN 'economy' ELSE 'zzz' END] END AS keywords FROM customer)"""
+
+
+def _asked(spark, sf_dir):
+    n = F.col("c_nationkey") % 5
+    word = F.when(n == 0, "ring").when(n == 1, "gear box").when(n == 2, "ol").when(n == 3, "economy").otherwise("zzz")
+    some = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lower("c_mktsegment"), word))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), some.alias("keywords"))
+
+
+@query(
+    "catalog_keyword_search",
+    f"""WITH {_ASKED}, d AS (SELECT DISTINCT p_partkey AS dataset_id, unnest(string_split(p_name, ' ') || [lower(p_type)]) AS dk FROM part),
+       k AS (SELECT query_id, unnest(keywords) AS kw FROM q),
+       pairs AS (SELECT kw, dk FROM (SELECT DISTINCT kw FROM k) JOIN (SELECT DISTINCT dk FROM d) ON contains(kw, dk) OR contains(dk, kw)),
+       hits AS (SELECT DISTINCT kw, dataset_id FROM pairs JOIN d USING (dk)),
+       s AS (SELECT query_id, dataset_id, count(*) AS score FROM k JOIN hits USING (kw) GROUP BY ALL
+         UNION ALL SELECT query_id, p_partkey, 0 FROM q, part WHERE len(keywords) = 0)
+       SELECT query_id, dataset_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id)::INT AS rank FROM s QUALIFY rank <= 3""",
+)
+def catalog_keyword_search(spark, sf_dir):
+    """The three best entries of each query, of which a quarter has no keywords."""
+    c = load(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("dataset_id"), F.concat(F.split("p_name", " "), F.array(F.lower("p_type"))).alias("keywords"))
+    return I.top_entries(I.keyword_scores(_asked(spark, sf_dir), c), c, 3)
+
+
+@query(
+    "keyword_buckets",
+    """WITH q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower(c_mktsegment || ' ' || c_name) END AS t, c_custkey % 5 = 0 AS every FROM customer)
+       SELECT query_id, n_name AS bucket FROM q JOIN nation ON every OR contains(t, CAST(n_nationkey + 10 AS VARCHAR))
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_nationkey) <= 3""",
+)
+def keyword_buckets(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    none = F.array().cast("array<string>")
+    asked = c.select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 5 == 0, none).otherwise(F.array("c_mktsegment", "c_name")).alias("keywords"))
+    topics = load(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 10).cast("string").alias("keyword"), F.col("n_name").alias("bucket"), F.col("n_nationkey").alias("place"))
+    return I.keyword_buckets(asked, topics, 3).select("query_id", "bucket")
+
+
 @query(
     "keyword_gate",
     f"""SELECT doc_id, list_has_any([lang, lower(source)], ['en', 'web']) AS hit, contains(lang || ' ' || lower(source), 'n w') AS bucket,
