@@ -131,6 +131,17 @@ JUSTIFY = {
         None,
     ),
 }
+CAUSAL_WARNING = {"medium": "Monitor for distribution shift and validate causal assumptions if deployed."}
+JUSTIFY_NOTE = {
+    "direct": "CRITICAL: Ensure dataset discovery finds REAL, appropriate datasets. NO hallucination allowed. If no suitable dataset found, reject training.",
+    "dataset_later": "CRITICAL: Ensure dataset discovery finds REAL, appropriate datasets. NO hallucination allowed. If no suitable dataset found, reject training.",
+    "ok": "Proceed with %s model family. Ensure dataset is real and appropriate before training.",
+}
+JUSTIFY_WARNING = {
+    "direct": "Dataset discovery must validate dataset exists and is appropriate before proceeding.",
+    "dataset_later": "Dataset discovery must validate dataset exists and is appropriate before proceeding.",
+}
+CONCEPT_TYPE = "research_concept"
 UNJUSTIFIED_JUSTIFICATION = "ML is not justified for this problem. Simpler alternatives may be more appropriate."
 TRAIN_REASONING = "All validation gates passed. ML model training is appropriate."
 TRAIN_ACTION = "Proceed with model training"

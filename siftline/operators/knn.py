@@ -163,6 +163,16 @@ def _near(q: DataFrame, b: DataFrame, pivots: np.ndarray, k: int, block: int) ->
         "id", "vec", "part", "cell", "chunk", "blk"
     )
 
+    keys = ["part", "cell", "blk", "chunk"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        block_product(k), f"qid bigint, neighbour {id_type}, distance double"
+    )
+    return first_per_group(found, ["qid"], ["distance", "neighbour"], k)
+
+
+def block_product(k: int):
+    """The ``k`` nearest rows (id, vec) of a block for each query (qid, vec) of a chunk."""
+
     def product(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": [], "neighbour": [], "distance": []})
         if lp.empty or rp.empty:
@@ -183,8 +193,4 @@ def _near(q: DataFrame, b: DataFrame, pivots: np.ndarray, k: int, block: int) ->
             out.append(got.groupby("qid", sort=False).head(k))
         return pd.concat(out)
 
-    keys = ["part", "cell", "blk", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        product, f"qid bigint, neighbour {id_type}, distance double"
-    )
-    return first_per_group(found, ["qid"], ["distance", "neighbour"], k)
+    return product

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from math import floor, log2, sqrt
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -264,18 +266,51 @@ def score_of(preds: DataFrame, task: str) -> dict[str, float | None]:
     return {"score": m["accuracy"], **{c: m[c] for c in ("accuracy", "precision", "recall", "f1_score")}}
 
 
-def cross_validate(code: str, rows: DataFrame, task: str, classes: int, n: int, k: int, seed: int = 42, **over) -> tuple[float, float]:
-    """Mean and population deviation of the score over ``k`` folds of (label, vec) rows."""
+def at_once(jobs: Sequence[Callable], most: int) -> list:
+    """The results of ``jobs`` in order, ``most`` of them running at a time; a failure is a result too.
+
+    Fits are chains of short Spark jobs, which leave most of a cluster idle when they run one by one.
+    """
+
+    def caught(job: Callable):
+        try:
+            return job()
+        except Exception as e:
+            return e
+
+    with ThreadPoolExecutor(max(1, most)) as pool:
+        return list(pool.map(inheritable_thread_target(caught), jobs))
+
+
+def raised(result):
+    if isinstance(result, Exception):
+        raise result
+    return result
+
+
+def with_folds(rows: DataFrame, task: str, k: int) -> DataFrame:
+    """(label, vec) rows with their fold, of classes in equal shares for a classification."""
     keyed = rows.withColumn("_k", F.xxhash64("label", "vec"))
-    folded = FX.folds(keyed, "_k", k) if task == "regression" else FX.stratified_folds(keyed, "_k", "label", k)
-    preds = reduce(
-        DataFrame.unionByName,
-        [
-            fit_one(code, folded.where(F.col("fold") != f), task, classes, n, seed, **over)
-            .transform(_vectors(folded.where(F.col("fold") == f))).select("fold", "label", "prediction")
-            for f in range(k)
-        ],
-    )
+    return FX.folds(keyed, "_k", k) if task == "regression" else FX.stratified_folds(keyed, "_k", "label", k)
+
+
+def fit_fold(code: str, folded: DataFrame, f: int, task: str, classes: int, n: int, seed: int = 42, **over) -> DataFrame:
+    """(fold, label, prediction) of fold ``f`` by a model of the others."""
+    model = fit_one(code, folded.where(F.col("fold") != f), task, classes, n, seed, **over)
+    return model.transform(_vectors(folded.where(F.col("fold") == f))).select("fold", "label", "prediction")
+
+
+def cross_validate(
+    code: str, rows: DataFrame, task: str, classes: int, n: int, k: int, seed: int = 42, parallelism: int = 4, **over
+) -> tuple[float, float]:
+    """Mean and population deviation of the score over ``k`` folds of (label, vec) rows."""
+    folded = with_folds(rows, task, k)
+    jobs = [lambda f=f: fit_fold(code, folded, f, task, classes, n, seed, **over) for f in range(k)]
+    return fold_summary(code, [raised(p) for p in at_once(jobs, parallelism)], task)
+
+
+def fold_summary(code: str, folds: Sequence[DataFrame], task: str) -> tuple[float, float]:
+    preds = reduce(DataFrame.unionByName, folds)
     metrics = E.regression_metrics(preds, ["fold"]) if task == "regression" else E.classification_metrics(preds, ["fold"])
     scores = metrics.select(F.lit(code).alias("model"), F.col("r2" if task == "regression" else "accuracy").alias("score"))
     r = E.cv_summary(scores).first()
@@ -338,11 +373,14 @@ def align_raw(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def train(
     df: DataFrame, task: str, target: str | None = None, key: str = "id", models: Sequence[str] = MODELS,
     cv: int | None = None, ensembles: bool = True, good: float = 0.85, goal: float = 0.90, seed: int = 42,
-    options: dict[str, dict] | None = None,
+    options: dict[str, dict] | None = None, parallelism: int = 4, max_rows: int | None = None,
 ) -> Trained | Clustered | DataFrame:
     """Detect the target, prepare, fit and compare all models, combine the good ones.
 
-    A clustering has no target and gives a ``Clustered`` over all columns but the key. Returns a ``Trained``; a table that cannot be trained on gives a one-row (error) frame.
+    A clustering has no target and gives a ``Clustered`` over all columns but the key. Fits of models and
+    folds run ``parallelism`` at a time, with the same results as one by one. ``max_rows`` bounds the
+    train rows after oversampling. Returns a ``Trained``; a table that cannot be trained on gives a
+    one-row (error) frame.
     """
     spark = df.sparkSession
 
@@ -360,22 +398,34 @@ def train(
         return failed(f"Unsupported task type: {task}")
 
     prep = prepare(df, target, task, key, seed=seed)
-    rows = balanced(prep, seed=seed) if task == "classification" else prep.train.select("label", "vec")
+    rows = balanced(prep, max_rows=max_rows, seed=seed) if task == "classification" else prep.train.select("label", "vec")
     rows, n = few_partitions(rows)
     test = few_partitions(_vectors(prep.test))[0]
     classes = len(prep.labels)
     k = cv if cv is not None else (folds_for(n) if task == "classification" else 5)
 
+    codes = models_for(n, models)
+    over = {c: (options or {}).get(c, {}) for c in codes}
+    folded = with_folds(rows, task, k) if k > 1 else None
+
+    def whole(code: str) -> tuple[object, dict]:
+        model = fit_one(code, rows, task, classes, n, seed, **over[code])
+        return model, score_of(model.transform(test), task)
+
+    jobs = [lambda c=c: whole(c) for c in codes]
+    jobs += [lambda c=c, f=f: fit_fold(c, folded, f, task, classes, n, seed, **over[c]) for c in codes for f in range(k if k > 1 else 0)]
+    done = at_once(jobs, parallelism)
+    folds = iter(done[len(codes) :])
     board, fitted = [], []
-    for i, code in enumerate(models_for(n, models)):
+    for i, (code, result) in enumerate(zip(codes, done)):
         row = {"seq": i, "model": code.upper()}
+        own = [next(folds) for _ in range(k)] if k > 1 else []
         try:
-            over = (options or {}).get(code, {})
-            m = fit_one(code, rows, task, classes, n, seed, **over)
-            row.update(score_of(m.transform(test), task))
-            if k > 1:
-                row["cv_mean"], row["cv_std"] = cross_validate(code, rows, task, classes, n, k, seed, **over)
-            fitted.append((m, code, row["score"]))
+            model, scores = raised(result)
+            row.update(scores)
+            if own:
+                row["cv_mean"], row["cv_std"] = fold_summary(code, [raised(p) for p in own], task)
+            fitted.append((model, code, row["score"]))
         except Exception as e:  # a model that fails is a row of the leaderboard, not the end of the sweep
             row["error"] = str(e)[:500]
         board.append(row)
@@ -528,7 +578,7 @@ def evaluate_saved(path: str, df: DataFrame, prepared_rows: DataFrame, key: str,
 
 
 def cluster(df: DataFrame, columns: Sequence[str], k: int | None = None, restarts: int = 10, seed: int = 42,
-            max_iter: int = 300, silhouette: str = "squared_euclidean") -> tuple[DataFrame, DataFrame, object]:
+            max_iter: int = 300, silhouette: str = "squared_euclidean", parallelism: int = 4) -> tuple[DataFrame, DataFrame, object]:
     """(rows with prediction, metrics, model): standardised k-means, best of several starts.
 
     Gaps take the column mean; text columns become 0/1 columns of all levels but the first.
@@ -548,7 +598,7 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int | None = None, restart
     vec = F.array(*[(F.col(c).cast("double") - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns])
     rows = _vectors(filled.withColumn("vec", vec)).cache()
     k = k or clusters_for(row["n"])
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(restarts)]
+    fits = [raised(m) for m in at_once([lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(rows) for i in range(restarts)], parallelism)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows)
     found = sum(size > 0 for size in best.summary.clusterSizes)

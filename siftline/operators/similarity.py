@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as X
 from siftline.functions import vocab as V
 from siftline.operators import setjoin as J
+from siftline.operators.ann import approx_join
 from siftline.operators.knn import knn_join
 from siftline.operators.ranking import first_per_group
 from siftline.session import cut
@@ -182,14 +183,21 @@ def match(
     dataset: str = "dataset_id",
     problem_column: str = "match_text",
     dataset_column: str = "match_text",
+    probes: int = 8,
 ) -> DataFrame:
     """(problem, dataset, similarity, rank): the ``k`` best at or above the threshold, else the best.
 
-    ``dataset`` is the catalog position: smaller wins a tie.
+    ``dataset`` is the catalog position: smaller wins a tie. ``method`` is "jaccard", "cosine" or
+    "approximate": the cosine of rows in the ``probes`` nearest cells (``ann``), for catalogs too large
+    to compare with all; vectors without a direction then match nothing.
     """
-    if method == "cosine":
+    if method in ("cosine", "approximate"):
         p = problems.select(F.col(problem).alias("id"), F.col(problem_column).alias("vec"))
         c = catalog.select(F.col(dataset).alias("id"), F.col(dataset_column).alias("vec"))
+    if method == "approximate":
+        found = approx_join(p, c, k=k, metric="cosine", probes=probes)
+        top = found.select(F.col("id").alias("p"), F.col("neighbour").alias("d"), F.col("similarity").alias("sim"))
+    elif method == "cosine":
         found = knn_join(p, c, k=k, metric="cosine", keep_undirected=True).select(
             F.col("id").alias("p"), F.col("neighbour").alias("d"), F.col("similarity").alias("sim")
         )

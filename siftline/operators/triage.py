@@ -270,7 +270,10 @@ def gate2(
 
 
 def step3(df: DataFrame, vocab: Vocabulary = DEFAULT, where: Column | None = None) -> DataFrame:
-    """Add ``research``: struct(is_research, concepts, reasoning, recommended_action)."""
+    """Add ``research``: struct(is_research, concepts, reasoning, recommended_action, conceptual_content).
+
+    ``conceptual_content`` tells what to explain instead of training: concepts, type and two flags.
+    """
     df = _text_columns(df) if "_all" not in df.columns else df
     run = F.lit(True) if where is None else where
     found = _strings(
@@ -287,12 +290,15 @@ def step3(df: DataFrame, vocab: Vocabulary = DEFAULT, where: Column | None = Non
             F.concat(F.lit(M.RESEARCH_PREFIX), F.array_join(concepts, ", "), F.lit(M.RESEARCH_SUFFIX)),
         ).otherwise(M.NOT_RESEARCH).alias("reasoning"),
         F.when(yes, M.RESEARCH_ACTION).alias("recommended_action"),
+        F.when(yes, F.struct(
+            concepts.alias("concepts"), F.lit(M.CONCEPT_TYPE).alias("type"), F.lit(True).alias("should_explain"), F.lit(True).alias("should_not_train"),
+        )).alias("conceptual_content"),
     )
     return df.withColumn("research", F.when(run, research)).drop("_concepts")
 
 
 def gate3(df: DataFrame, vocab: Vocabulary = DEFAULT, where: Column | None = None) -> DataFrame:
-    """Add ``causal_validity``: struct(valid, risk_level, reasoning, recommended_action)."""
+    """Add ``causal_validity``: struct(valid, risk_level, reasoning, recommended_action, warning)."""
     df = _text_columns(df) if "_all" not in df.columns else df
     run = F.lit(True) if where is None else where
     text = F.col("_all")
@@ -313,6 +319,7 @@ def gate3(df: DataFrame, vocab: Vocabulary = DEFAULT, where: Column | None = Non
         F.when(code.isin("low", "medium"), code).alias("risk_level"),
         _by_code(code, M.CAUSAL, 0).alias("reasoning"),
         _by_code(code, M.CAUSAL, 1).alias("recommended_action"),
+        _by_code(code, {c: (w,) for c, w in M.CAUSAL_WARNING.items()}, 0).alias("warning"),
     )
     return df.withColumn("causal_validity", F.when(run, result)).drop("_risk")
 
@@ -333,7 +340,8 @@ def gate4(
     strict: bool = True,
     where: Column | None = None,
 ) -> DataFrame:
-    """Add ``justification``: struct(justified, model_family, reasoning, recommended_action)."""
+    """Add ``justification``: struct(justified, model_family, reasoning, recommended_action, note, warning,
+    dataset_validated, direct_problem_mode)."""
     df = _text_columns(df) if "_all" not in df.columns else df
     run = F.lit(True) if where is None else where
     body, task = F.col("_body"), F.coalesce(F.col("feasibility.task_type"), F.lit("unknown"))
@@ -370,6 +378,12 @@ def gate4(
         F.when(code == "ok", task).alias("model_family"),
         reasoning.alias("reasoning"),
         _by_code(code, M.JUSTIFY, 1).alias("recommended_action"),
+        F.when(code == "ok", F.format_string(M.JUSTIFY_NOTE["ok"], task)).otherwise(
+            _by_code(code, {c: (n,) for c, n in M.JUSTIFY_NOTE.items()}, 0)).alias("note"),
+        _by_code(code, {c: (w,) for c, w in M.JUSTIFY_WARNING.items()}, 0).alias("warning"),
+        # Whoever gets as far as "ok" has named a dataset or a source.
+        F.when(code == "ok", True).alias("dataset_validated"),
+        F.when(code == "direct", True).alias("direct_problem_mode"),
     )
     return df.withColumn("justification", F.when(run, result)).drop("_why")
 

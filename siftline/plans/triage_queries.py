@@ -304,6 +304,23 @@ def gate4_justify(spark, sf_dir):
     )
 
 
+@query(
+    "gate_fields",
+    chain(corpus.POSTS_SQL, GATE1_SQL, GATE2_SQL, STEP3_SQL.replace("@src", "gate2"), GATE3_SQL.replace("@src", "step3"), GATE4_SQL.replace("@src", "gate3"))
+    + f""" SELECT seq, CASE WHEN len(concepts) > 0 THEN 'research_concept: ' || array_to_string(concepts, '; ') END AS explain,
+        CASE WHEN code3 = 'medium' THEN 'Monitor for distribution shift and validate causal assumptions if deployed.' END AS causal_warning,
+        CASE WHEN justified4 THEN 'Proceed with ' || task2 || ' model family. Ensure dataset is real and appropriate before training.' END AS note,
+        CASE WHEN justified4 THEN NOT (NOT {any_kw('b', V.DATASET_MENTION)} AND coalesce(source2, '') = 'to be discovered') END AS dataset_validated FROM gate4""",
+)
+def gate_fields(spark, sf_dir):
+    """What the gates say besides their verdicts; every gate is run for every post."""
+    d = T.gate4(T.gate3(T.step3(T.gate2(T.gate1(corpus.posts(spark, sf_dir))))))
+    about = F.concat_ws(": ", "research.conceptual_content.type", F.array_join("research.conceptual_content.concepts", "; "))
+    return d.select(
+        "seq", F.when(F.col("research.conceptual_content.should_not_train"), about).alias("explain"),
+        F.col("causal_validity.warning").alias("causal_warning"), "justification.note", "justification.dataset_validated")
+
+
 _DECISION_COLS = ("decision", "content_type", "category", "reasoning", "recommended_action")
 
 

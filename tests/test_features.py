@@ -169,3 +169,23 @@ def test_models_of_every_kind_survive_saving(spark, tmp_path):
         got.save(str(tmp_path / str(i)))
         scorer = MD.load_scorer(spark, str(tmp_path / str(i)))
         assert {r["id"]: r["predicted"] for r in scorer.score_raw(df).collect()} == want
+
+
+def test_fits_at_once_give_the_same_leaderboard(spark):
+    d = tables.synthetic_table(spark, "classification", 300).cache()
+    small = {"rf": {"numTrees": 5, "maxDepth": 4}, "lr": {"maxIter": 20}}
+    boards = []
+    for n in (1, 4):
+        got = MD.train(d, "classification", models=("rf", "lr", "nope"), cv=3, options=small, parallelism=n)
+        boards.append(sorted(tuple(r)[:-1] for r in got.leaderboard.collect()))
+        assert [r["model"] for r in got.leaderboard.where("error IS NOT NULL").collect()] == ["NOPE"]
+    assert boards[0] == boards[1] and all(b[-2] is not None for b in boards[0] if b[1] in ("RF", "LR"))
+    assert MD.at_once([lambda: 1, lambda: 1 / 0, lambda: 3], 2)[::2] == [1, 3]
+
+
+def test_rows_after_oversampling_are_bounded(spark):
+    d = tables.synthetic_table(spark, "classification", 300).withColumn("target", F.when(F.col("id") % 6 == 0, F.col("target")).otherwise(F.lit(0)))
+    prep = MD.prepare(d, "target", "classification", "id")
+    if len(prep.labels) > 1:
+        grown = MD.balanced(prep).count()
+        assert MD.balanced(prep, max_rows=100).count() == min(100, grown)
