@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import travels
+from siftline.llm.common import free_names, travels
 
 travels(__name__)
 
@@ -153,5 +153,6 @@ def held_out(doc_id: str = "doc_id"):
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
     """Documents whose language is known with a probability of ``least`` or more; same columns."""
     columns = [f"`{c}`" for c in docs.columns]
-    out = predict(docs, model, text, "_lang_pred", "_lang_score")
-    return out.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(columns)
+    lang, score = free_names(docs, "_lang_pred", "_lang_score")
+    out = predict(docs, model, text, lang, score)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(columns)

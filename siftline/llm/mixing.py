@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import free_names, materialise
 
 PROBES = 32
 ROUNDS = 4
@@ -150,16 +150,21 @@ def _with_plan(rows: DataFrame, planned: DataFrame, columns: list[str]) -> DataF
 
 
 def apply(docs: DataFrame, planned: DataFrame, seed: int = 23, doc_id: str = "doc_id", source: str = "source", epoch: str = "epoch") -> DataFrame:
-    """``docs`` with a row per copy in the mix and its ``epoch``; texts stay where they are."""
-    right = planned.select(F.col("source").alias("_s"), F.col("epochs").alias("_e"), F.col("cut").alias("_cut"), F.col("closed").alias("_closed"))
+    """``docs`` with a row per copy in the mix and its ``epoch``; texts stay where they are.
+
+    A column of ``docs`` that is called like ``epoch`` is replaced by it.
+    """
+    docs = docs.drop(epoch)
+    s, e, cut, closed = free_names(docs, "_s", "_e", "_cut", "_closed")
+    right = planned.select(F.col("source").alias(s), F.col("epochs").alias(e), F.col("cut").alias(cut), F.col("closed").alias(closed))
     if planned.count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
-    joined = docs.join(right, F.col(source).eqNullSafe(F.col("_s")))
-    d = digest(seed, F.col("_e"), doc_id)
-    head = F.coalesce(F.when(F.col("_closed"), d <= F.col("_cut")).otherwise(d < F.col("_cut")), F.lit(False))
-    copies = (F.col("_e") + head.cast("long")).cast("int")
+    joined = docs.join(right, F.col(source).eqNullSafe(F.col(s)))
+    d = digest(seed, F.col(e), doc_id)
+    head = F.coalesce(F.when(F.col(closed), d <= F.col(cut)).otherwise(d < F.col(cut)), F.lit(False))
+    copies = (F.col(e) + head.cast("long")).cast("int")
     times = F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>")))
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], times.alias(epoch))
+    return joined.select(*[f"`{c}`" for c in docs.columns], times.alias(epoch))
 
 
 def blocks(

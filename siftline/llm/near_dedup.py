@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialise, shingle_set, travels, worker_cache
+from siftline.llm.common import free_names, materialise, shingle_set, travels, worker_cache
 from siftline.llm.components import components
 
 travels(__name__)
@@ -287,8 +287,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, hundredths: int = 80,
     The row kept is the first by (doc_id, nulls last; hash of the text). Rows equal in both are told apart
     by their number, which is given once, when the rows are written.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, words, hundredths, "_row", text).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col("_row").alias("row")))
-    kept = numbered.select("_row", doc_id, text).join(groups, "_row").groupBy("_group").agg(first["row"].alias("_row")).select("_row")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    row, group = free_names(docs, "_row", "_group")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, words, hundredths, row, text).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(row).alias("row")))
+    kept = numbered.select(row, doc_id, text).join(groups, row).groupBy(group).agg(first["row"].alias(row)).select(row)
+    return numbered.join(kept, row, "left_semi").drop(row)
