@@ -38,10 +38,15 @@ from siftline.llm.common import filesystem, prefix_sums, task_count, text_bytes,
 travels(__name__)
 
 PART_BYTES = 24 << 20
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 300_000
+WORDS_KEPT = 800_000
 PIECES_AT_ONCE = 200_000
+WORDS_AT_ONCE = 2_000
 TEXTS_AT_ONCE = 1 << 20
 
+#: Fixed value: the split pattern of which a word after a single space always begins a piece.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: Characters on which all Unicode versions agree about letters, numbers and spaces.
 PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
 
@@ -63,8 +68,10 @@ class PieceEncoder:
     """Encodes by the pieces of the tokenizer's pre-tokenizer and remembers the ids of pieces.
 
     A byte-level BPE encodes each piece on its own, so the ids of a text are those of its pieces.
-    Texts with characters outside ``PLAIN``, and tokenizers of another build, go through the
-    tokenizer whole.
+    With the pattern ``WORDWISE``, a space or line end between two other characters begins a piece, so
+    texts whose white space is all of that kind are looked up word by word, without the pattern; it
+    is applied to new words only. Texts with characters outside ``PLAIN``, and tokenizers of another
+    build, go through the tokenizer whole.
     """
 
     def __init__(self, path: str, pattern: str | None):
@@ -82,6 +89,8 @@ class PieceEncoder:
         self.split = regex.compile(pattern) if pattern and plain_bpe else None
         self.odd = re.compile(PLAIN)
         self.known: dict[str, bytes] = {}
+        self.wordwise = pattern == WORDWISE
+        self.inner: dict[str, bytes] = {}  # words after a space, or after a line end that they begin with
 
     def packed(self, ids: list[int]) -> bytes:
         packed = array("H" if self.width == 2 else "I", ids)
@@ -89,6 +98,20 @@ class PieceEncoder:
             packed.byteswap()
         return packed.tobytes()
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of words of letters after a space: they split where they are joined, so many go through the tokenizer as one text."""
+        new: dict[str, bytes] = {}
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            done = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            first = np.flatnonzero(np.diff(np.array(done.word_ids, np.int64), prepend=-1)) * self.width
+            if len(first) == len(some):
+                packed = self.packed(done.ids)
+                new.update(zip(some, map(packed.__getitem__, map(slice, first.tolist(), [*first[1:].tolist(), len(packed)]))))
+            else:
+                new.update((w, self.packed(e.ids)) for w, e in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)))
+        return new
+
     def _coded(self, lists: list[list[str]]) -> list[bytes]:
         """The packed ids of each list of pieces."""
         fresh = list(set(chain.from_iterable(lists)).difference(self.known))
@@ -100,11 +123,38 @@ class PieceEncoder:
             known = Overlay(new, known)
         return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
 
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        """The words of a text, those that begin a line with the line end before; None where white space is of another kind."""
+        if "\t" in text or "\r" in text or "\n\n" in text or "  " in text or " \n" in text:
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        return words if words[0] and words[-1] else None
+
+    def _by_words(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts, given as their words; the first word of each is taken off its list."""
+        firsts = [words.pop(0) for words in texts]
+        whole = dict.fromkeys(firsts)
+        whole = dict(zip(whole, self._coded([self.split.findall(w) for w in whole])))
+        inner = self.inner
+        held = set(chain.from_iterable(texts))
+        fresh = held.difference(inner)
+        new = self._words([w for w in fresh if w.isalpha()])
+        rest = list(fresh.difference(new))
+        new.update(zip(rest, self._coded([self.split.findall(w if w[0] == "\n" else " " + w) for w in rest])))
+        if len(inner) + len(new) <= WORDS_KEPT:
+            inner.update(new)
+        elif new:  # the words met first, which are the frequent ones, stay known
+            held.difference_update(new)
+            inner = new | dict(zip(held, map(inner.__getitem__, held)))
+        find = inner.__getitem__
+        return [whole[first] + b"".join(map(find, words)) for first, words in zip(firsts, texts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out: list[bytes] = [b""] * len(texts)
-        short = []
+        short, worded = [], []
         for i, t in enumerate(texts):
             if self.odd.search(t):
                 out[i] = self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
@@ -113,8 +163,12 @@ class PieceEncoder:
                 while some := list(islice(found, PIECES_AT_ONCE)):
                     parts += self._coded([some])
                 out[i] = b"".join(parts)
+            elif self.wordwise and (words := self._split(t)):
+                worded.append((i, words))
             else:
                 short.append((i, self.split.findall(t)))
+        for (i, _), coded in zip(worded, self._by_words([words for _, words in worded])):
+            out[i] = coded
         for (i, _), coded in zip(short, self._coded([pieces for _, pieces in short])):
             out[i] = coded
         return out

@@ -69,3 +69,23 @@ def test_empty_table(spark):
     folder = scratch(spark, "tokens")
     assert T.write_tokens(df, folder, queries.TOKENIZER).count() == 0
     assert T.read_tokens(spark, folder, digest=True).collect() == []
+
+
+def test_encoder_equals_tokenizer_on_mixed_white_space(monkeypatch):
+    """New words joined, known pieces and whole texts: all give the tokenizer's ids."""
+    import random
+
+    monkeypatch.setattr(T, "PIECES_KEPT", 30)
+    monkeypatch.setattr(T, "WORDS_KEPT", 30)
+    monkeypatch.setattr(T, "WORDS_AT_ONCE", 4)
+    rnd, tok = random.Random(6), plain()
+    bits = ["the", "it's", "'s", "'", "end.", "x_y", "12", "a1b2", "...", "na\u00efve", "\u00bd", "(paren)", "don't", "\u00df", "#tag", "$5.00", "''ll"]
+    gaps = [" ", " ", " ", " ", "\n", "\n", "  ", " \n", "\n ", "\n\n", "\t", "\r\n", ""]
+    enc = T.PieceEncoder(queries.TOKENIZER, public_tokenizers.PATTERN)
+    assert public_tokenizers.PATTERN == T.WORDWISE
+    for size in (3, 8, 40):
+        texts = ["".join(rnd.choice(bits) + rnd.choice(gaps[: rnd.choice([4, 6, 13])]) for _ in range(rnd.randint(0, size))) for _ in range(400)]
+        texts += [t.strip() for t in texts]
+        want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        assert sum(T.PieceEncoder._split(t) is not None for t in texts) > 50
+        assert enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
