@@ -1,9 +1,9 @@
 """Random shards by a two-pass external shuffle, in DataFrame operations alone.
 
 Pass 1 scatters the rows by a seeded hash of their id into buckets of about ``bucket_bytes`` of text,
-which fit a task's memory. Pass 2 puts each bucket into the order of another seeded hash, so that the
-outcome does not hang on the order of arrival, runs Fisher-Yates over it (Spark's ``shuffle`` is the
-inside-out form) and writes it. The buckets, one after the other, are one random order of all rows;
+which fit a task's memory. Pass 2 puts each bucket, and the buckets of a task, into a fixed order, so
+that the outcome does not hang on the order of arrival, runs Fisher-Yates over each (Spark's ``shuffle``
+is the inside-out form) and writes it. The buckets, one after the other, are one random order of all rows;
 prefix sums over their counts give every row its rank, and ranks are cut into shards whose row counts
 differ by one at most (the law ``rows``). A bucket falls into one or two shards, so files stay large.
 
@@ -45,11 +45,10 @@ def write_shards(
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     scattered = docs.select(bucket.alias("bucket"), F.struct(_hash(seed + 1, doc_id, text).alias("order"), row.alias("row")).alias("record"))
     tasks = min(buckets, MOST_TASKS)
-    records = F.shuffle(F.sort_array(F.collect_list("record")), seed)
-    shuffled = (
-        scattered.repartition(tasks, "bucket").groupBy("bucket").agg(records.alias("records"))
-        .select("bucket", F.posexplode("records").alias("place", "record"))
-    )
+    # ``shuffle`` draws from one generator per task, so the buckets of a task come in a fixed order.
+    gathered = scattered.repartition(tasks, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
+    shuffled = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", seed).alias("records"))
+    shuffled = shuffled.select("bucket", F.posexplode("records").alias("place", "record"))
     # Shard s holds the ranks from ceil(s * total / shards) on.
     shard = F.expr(f"CAST((base + place) * {shards} DIV {max(total, 1)} AS INT)")
     slot = F.expr(f"base + place - (shard * {total}L + {shards - 1}) DIV {shards}")

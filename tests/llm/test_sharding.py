@@ -47,3 +47,13 @@ def test_edges(spark):
     lawful(sharding.write_shards(few, scratch(spark, "shards")).collect(), 16, 2)
     with pytest.raises(ValueError):
         sharding.write_shards(few.withColumnRenamed("text", "shard"), scratch(spark, "shards"), text="shard")
+
+
+def test_the_order_of_arrival_does_not_matter(spark):
+    rows = [(i, f"text {i} " * 20, i % 3) for i in range(1000)] + [(None, None, 1), (None, "x", 1), (7, "again", 2), (7, "again", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int")
+    placed = []
+    for df in (docs.coalesce(1), docs.repartition(5), docs.orderBy(docs.text.desc())):
+        out = sharding.write_shards(df, scratch(spark, "shards"), 7, bucket_bytes=8_000)
+        placed.append(sorted(map(repr, out.select("doc_id", "text", "shard", "slot").collect())))
+    assert placed[0] == placed[1] == placed[2]
