@@ -170,6 +170,7 @@ def first_usable(matches: DataFrame, available: DataFrame, key: str = "problem_i
 
 
 GRAM = 3
+COUNTERS = 1 << 16  # pieces of three characters are few
 
 
 def _grams(word: Column, length: int) -> Column:
@@ -187,7 +188,7 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     """
     s, l = short.toDF("short"), long.toDF("long")
     grams = l.select("long", _grams(F.col("long"), GRAM).alias("toks"))
-    table = J.rarity(grams)
+    table = J.rarity(grams, counters=COUNTERS)
     rarest = F.get(J.keys(_grams(F.col("short"), GRAM), table), F.lit(0))
     filed = s.where("short <> ''").select("short", F.when(F.length("short") >= GRAM, rarest).otherwise(F.xxhash64("short")).alias("piece"))
     small = [F.transform(_grams(F.col("long"), k), lambda x: F.xxhash64(x)) for k in range(1, GRAM)]
