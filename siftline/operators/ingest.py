@@ -12,6 +12,7 @@ from siftline.functions import text as X
 from siftline.functions import vocab as V
 from siftline.operators import setjoin as J
 from siftline.operators.ranking import first_per_group
+from siftline.session import cut
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
@@ -196,23 +197,62 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     return filed.join(looked, "piece").where(F.col("long").contains(F.col("short"))).select("short", "long").distinct()
 
 
+def _keyword_hits(asked: DataFrame, catalog: DataFrame, entry_id: str, entry_keywords: str) -> DataFrame:
+    """(kw, entry): the entries with a keyword that contains, or lies in, an asked one."""
+    listed = catalog.select(entry_id, F.explode(F.array_distinct(entry_keywords)).alias("dk"))
+    kws, dks = asked.select("kw").distinct(), listed.select("dk").distinct()
+    pairs = contained(kws, dks).toDF("kw", "dk").unionByName(contained(dks, kws).toDF("dk", "kw")).distinct()
+    return pairs.join(listed, "dk").select("kw", entry_id).distinct()
+
+
+def _asking_nothing(queries: DataFrame, catalog: DataFrame, query_id: str, keywords: str, entry_id: str) -> DataFrame:
+    blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct()
+    entry = F.lit(None).cast(catalog.schema[entry_id].dataType)
+    return blank.select(query_id, entry.alias(entry_id), F.lit(0).cast("long").alias("score"))
+
+
 def keyword_scores(queries: DataFrame, catalog: DataFrame, query_id: str = "query_id", keywords: str = "keywords",
                    entry_id: str = "dataset_id", entry_keywords: str = "keywords") -> DataFrame:
     """Catalog entries by number of query keywords that contain, or lie in, one of theirs.
 
     A query without keywords asks for nothing in particular: it has one row with score 0 and no entry,
-    which stands for every entry. ``top_entries`` resolves it.
+    which stands for every entry. ``top_entries`` resolves it. There is a row for every query and entry that
+    share something; for the best entries of many queries take ``search_entries``.
     """
     asked = queries.select(query_id, F.explode(F.transform(keywords, F.lower)).alias("kw"))
-    listed = catalog.select(entry_id, F.explode(F.array_distinct(entry_keywords)).alias("dk"))
-    kws, dks = asked.select("kw").distinct(), listed.select("dk").distinct()
-    pairs = contained(kws, dks).toDF("kw", "dk").unionByName(contained(dks, kws).toDF("dk", "kw")).distinct()
-    hits = pairs.join(listed, "dk").select("kw", entry_id).distinct()
+    hits = _keyword_hits(asked, catalog, entry_id, entry_keywords)
     counted = asked.groupBy(query_id, "kw").agg(F.count("*").alias("_n"))
     scored = counted.join(hits, "kw").groupBy(query_id, entry_id).agg(F.sum("_n").alias("score"))
-    blank = queries.where(F.coalesce(F.size(keywords), F.lit(0)) <= 0).select(query_id).distinct()
-    entry = F.lit(None).cast(catalog.schema[entry_id].dataType)
-    return scored.unionByName(blank.select(query_id, entry.alias(entry_id), F.lit(0).cast("long").alias("score")))
+    return scored.unionByName(_asking_nothing(queries, catalog, query_id, keywords, entry_id))
+
+
+def search_entries(queries: DataFrame, catalog: DataFrame, n: int, query_id: str = "query_id", keywords: str = "keywords",
+                   entry_id: str = "dataset_id", entry_keywords: str = "keywords") -> DataFrame:
+    """``top_entries`` of ``keyword_scores``, without a row for every query and entry.
+
+    Queries with the same keywords are one. Entries that are hit by the same asked keywords score alike in
+    every query, so they are one class, of which no query needs more than the first ``n``; and as a class
+    holds an entry at least, no query needs more than its ``n`` best classes.
+    """
+    asked = queries.select(query_id, F.explode(F.transform(keywords, F.lower)).alias("kw")).where("kw IS NOT NULL")
+    counted = asked.groupBy(query_id, "kw").agg(F.count("*").alias("_n"))
+    asking = cut(counted.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("kw", "_n"))).alias("_bag")))
+    bags = asking.select("_bag").distinct()
+
+    hits = _keyword_hits(asked, catalog, entry_id, entry_keywords)
+    entries = hits.groupBy(entry_id).agg(F.sort_array(F.collect_set("kw")).alias("_hit"))
+    members = cut(first_per_group(entries, ["_hit"], [entry_id], n))
+    classes = members.groupBy("_hit").agg(F.min(entry_id).alias("_first"))
+
+    scored = (
+        bags.select("_bag", F.inline("_bag")).join(classes.select("_first", F.explode("_hit").alias("kw")), "kw")
+        .groupBy("_bag", "_first").agg(F.sum("_n").alias("score"))
+    )
+    best = first_per_group(scored, ["_bag"], [F.col("score").desc(), F.col("_first")], n)
+    named = best.join(classes, "_first").join(members, "_hit").select("_bag", entry_id, "score")
+    few = first_per_group(named, ["_bag"], [F.col("score").desc(), F.col(entry_id)], n)
+    found = asking.join(few, "_bag").select(query_id, entry_id, "score")
+    return top_entries(found.unionByName(_asking_nothing(queries, catalog, query_id, keywords, entry_id)), catalog, n, query_id, entry_id)
 
 
 def top_entries(scores: DataFrame, catalog: DataFrame, n: int, query_id: str = "query_id", entry_id: str = "dataset_id") -> DataFrame:

@@ -259,7 +259,7 @@ def catalog_keyword_search(spark, sf_dir):
     """The three best entries of each query, of which a quarter has no keywords."""
     c = load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("dataset_id"), F.concat(F.split("p_name", " "), F.array(F.lower("p_type"))).alias("keywords"))
-    return I.top_entries(I.keyword_scores(_asked(spark, sf_dir), c), c, 3)
+    return I.search_entries(_asked(spark, sf_dir), c, 3)
 
 
 @query(

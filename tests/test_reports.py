@@ -109,6 +109,32 @@ def test_keyword_scores_of_many_queries_without_keywords(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_search_entries_are_the_top_entries_of_all_scores(spark):
+    import random
+
+    rnd = random.Random(7)
+    words = ["heart", "art", "disease", "is", "model", "tea", "team", "zzz"]
+    q = [(i, [rnd.choice(words).upper() for _ in range(rnd.randint(0, 4))]) for i in range(60)] + [(60, None), (61, ["zz"])]
+    q = spark.createDataFrame(q, "query_id int, keywords array<string>")
+    c = spark.createDataFrame([(i, rnd.choices(words[:-1], k=rnd.randint(0, 3))) for i in range(80)], "dataset_id int, keywords array<string>")
+    for n in (1, 3, 9):
+        want = I.top_entries(I.keyword_scores(q, c), c, n).collect()
+        assert sorted(tuple(r) for r in I.search_entries(q, c, n).collect()) == sorted(tuple(r) for r in want)
+
+
+def test_search_of_equal_queries_makes_no_row_per_query_and_entry(spark):
+    q = spark.range(2000).selectExpr("id query_id", "array('art') keywords")
+    c = spark.range(2000).selectExpr("id dataset_id", "array('heart') keywords")
+    seen = []
+    first = I.first_per_group
+    I.first_per_group = lambda df, *a: seen.append(df.count()) or first(df, *a)
+    try:
+        assert I.search_entries(q, c, 3).count() == 6000
+    finally:
+        I.first_per_group = first
+    assert max(seen) <= 6000  # a row for every pair would be 4 million
+
+
 def test_contained_equals_brute_force(spark):
     import random
 
