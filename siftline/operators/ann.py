@@ -4,9 +4,12 @@ Base vectors are assigned to cells around fine pivots, which are grouped under c
 a bounded sample of the base. A vector looks for its cell among the fine pivots of its nearest coarse
 groups only, so assigning costs about the square root of the number of cells. A query visits the
 ``probes`` nearest cells of as many groups as it takes, and every row there is scored exactly: results
-are right in order and score, but rows of other cells are missed. ``recall`` measures how many.
+are right in order and score, but rows of other cells are missed. ``recall`` measures how many. How many
+cells that takes depends on the vectors and grows with their number where they have no clusters, so unless
+a caller fixes ``probes`` it is measured: the true neighbours of ``ASKED`` queries are found by brute force,
+and as many cells are probed as hold ``least`` of them.
 
-A query is copied ``probes`` times however large the base is. Cells are split into blocks and their
+A query is copied ``probes`` times. Cells are split into blocks and their
 queries into chunks of bounded size, so no task grows with the data; equal base vectors beyond the
 first ``k`` by id do not take part, as they cannot be among anyone's ``k`` best.
 """
@@ -30,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELL_ROWS = 1024
 MOST_CELLS = 4096  # pivots on the driver
 BLOCK = 4096
+ASKED = 256  # queries whose neighbours are found by brute force
+LEAST = 0.95
 
 
 class Cells:
@@ -60,14 +65,40 @@ class Cells:
         return cells, dist
 
 
+def probes_needed(cells: Cells, queries: DataFrame, placed: DataFrame, k: int, least: float) -> int:
+    """In how many of its nearest cells a query finds ``least`` of its ``k`` nearest base rows, itself left out.
+
+    ``queries``: (id, vec), of which ``ASKED`` are compared with every row of ``placed`` (id, vec, cell).
+    """
+    some = queries.orderBy(F.md5(F.col("id").cast("string")), "id").limit(ASKED).collect()
+    if not some:
+        return 1
+    x = np.array([r["vec"] for r in some], dtype=np.float64)
+
+    def nearest(batches):
+        for pdf in batches:
+            d = _distances(x, _matrix(pdf["vec"]))
+            at = np.argsort(d, 1, kind="stable")[:, : k + 1]
+            yield pd.DataFrame({
+                "q": np.repeat(np.arange(len(x), dtype="int32"), at.shape[1]), "neighbour": pdf["id"].to_numpy()[at.ravel()],
+                "cell": pdf["cell"].to_numpy()[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel()})
+
+    id_type = placed.schema["id"].dataType.simpleString()
+    near = placed.mapInPandas(nearest, f"q int, neighbour {id_type}, cell int, distance double")
+    near = first_per_group(near, ["q"], ["distance", "neighbour"], k + 1).orderBy("q", "distance", "neighbour").toPandas()  # (k + 1) * ASKED rows
+    near = near[near["neighbour"].to_numpy() != np.array([r["id"] for r in some], dtype=object)[near["q"]]].groupby("q").head(k)
+    rank = _distances(x, cells.pivots).argsort(1, kind="stable").argsort(1)[near["q"], near["cell"]]
+    return int(np.sort(rank)[max(0, int(np.ceil(least * len(rank))) - 1)]) + 1 if len(rank) else 1
+
+
 def approx_join(
-    queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", probes: int = 8, cell_rows: int = CELL_ROWS,
-    exclude_self: bool = False, block: int = BLOCK,
+    queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", probes: int | None = None, cell_rows: int = CELL_ROWS,
+    exclude_self: bool = False, block: int = BLOCK, least: float = LEAST,
 ) -> DataFrame:
     """(id, neighbour, distance, similarity): about the ``k`` nearest base rows of each query row.
 
     ``queries`` and ``base``: (id, vec). As ``knn.knn_join`` but for rows in cells that are not probed.
-    With as many probes as there are cells the result is exact.
+    With as many probes as there are cells the result is exact; without a number of probes it is measured.
     """
     want = k + 1 if exclude_self else k
     q_all, b_all = _prepare(queries, metric, None), _prepare(base, metric, None)
@@ -79,18 +110,20 @@ def approx_join(
     if not sample:
         return queries.sparkSession.createDataFrame([], f"id {queries.schema['id'].dataType.simpleString()}, neighbour {id_type}, distance double, similarity double")
     cells = Cells(np.array([r["vec"] for r in sample], dtype=np.float64))
-    wide = max(2, probes)
 
     def assign(batches):
         for pdf in batches:
             yield pdf.assign(cell=cells.nearest(_matrix(pdf["vec"]), 1, 2)[0][:, 0].astype("int32"))
 
+    placed = cut(b.mapInPandas(assign, f"id {id_type}, vec array<double>, cell int"))
+    wide = len(cells.coarse) if probes is None else max(2, probes)  # ranks are measured among all cells
+    probes = probes_needed(cells, q_all.select("id", "vec"), placed, k, least) if probes is None else probes
+
     def route(batches):
         for pdf in batches:
             found = cells.nearest(_matrix(pdf["vec"]), probes, wide)[0]
             yield pdf.assign(cells=[row[row >= 0].astype("int32").tolist() for row in found])
 
-    placed = cut(b.mapInPandas(assign, f"id {id_type}, vec array<double>, cell int"))
     asked = cut(q_all.withColumn("qid", F.xxhash64("vec")).groupBy("vec").agg(F.min("qid").alias("qid")))
     routed = cut(asked.mapInPandas(route, "vec array<double>, qid bigint, cells array<int>").select("vec", "qid", F.explode("cells").alias("cell")))
 

@@ -43,6 +43,23 @@ def test_recall_of_a_few_probes(spark):
     assert got["recall"] >= 0.9, got
 
 
+def test_recall_without_a_number_of_probes(spark):
+    """Vectors without clusters need most cells, clustered ones a few."""
+    v = load(spark, "/root/testdata/sf0.1", "embeddings").selectExpr("vec_id AS id", "embedding AS vec")
+    exact = knn_join(v.where("id % 10 = 0"), v, 3, "cosine", exclude_self=True)
+    got = ann.recall(ann.approx_join(v.where("id % 10 = 0"), v, 3, "cosine", cell_rows=50, exclude_self=True), exact).first()
+    assert got["n"] == 600 and got["recall"] >= 0.9, got
+    used = []
+    needed = ann.probes_needed
+    ann.probes_needed = lambda *a: used.append(needed(*a)) or used[-1]
+    try:
+        b = clustered(spark, 4000, 3, copies=False)
+        got = ann.recall(ann.approx_join(b.where("id < 300"), b, 5, cell_rows=64), knn_join(b.where("id < 300"), b, 5)).first()
+    finally:
+        ann.probes_needed = needed
+    assert got["recall"] >= 0.9 and used[0] <= 15, (got, used)
+
+
 def test_two_level_cells():
     rng = np.random.default_rng(5)
     pivots = rng.normal(size=(400, 8))
