@@ -41,8 +41,10 @@ PART_BYTES = 24 << 20
 PIECES_KEPT = 300_000
 WORDS_KEPT = 800_000
 PIECES_AT_ONCE = 200_000
-WORDS_AT_ONCE = 2_000
+WORDS_AT_ONCE = 500
 TEXTS_AT_ONCE = 1 << 20
+BATCH = 4 << 20
+TAIL = ",.;:!?)"
 
 #: Fixed value: the split pattern of which a word after a single space always begins a piece.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,7 +141,12 @@ class PieceEncoder:
         inner = self.inner
         held = set(chain.from_iterable(texts))
         fresh = held.difference(inner)
-        new = self._words([w for w in fresh if w.isalpha()])
+        tailed = [w for w in fresh if w[-1] in TAIL and w[:-1].isalpha()]
+        stems = {w[:-1] for w in tailed}.difference(inner)
+        new = self._words([*stems, *(w for w in fresh if w not in stems and w.isalpha())])
+        # A mark after letters is a piece of its own.
+        marks = dict(zip(TAIL, self._coded([[mark] for mark in TAIL]))) if tailed else {}
+        new.update({w: (new.get(w[:-1]) or inner[w[:-1]]) + marks[w[-1]] for w in tailed})
         rest = list(fresh.difference(new))
         new.update(zip(rest, self._coded([self.split.findall(w if w[0] == "\n" else " " + w) for w in rest])))
         if len(inner) + len(new) <= WORDS_KEPT:
@@ -182,12 +189,12 @@ def encoder(path: str, pattern: str | None) -> PieceEncoder:
 
 
 def _some(texts: pd.Series) -> Iterator[list[str]]:
-    """The texts in lists of about a million characters."""
+    """The texts in lists of about ``BATCH`` characters."""
     held, size = [], 0
     for t in texts:
         held.append(t or "")
         size += len(held[-1])
-        if size >= TEXTS_AT_ONCE:
+        if size >= BATCH:
             yield held
             held, size = [], 0
     if held:

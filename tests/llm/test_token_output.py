@@ -89,3 +89,22 @@ def test_encoder_equals_tokenizer_on_mixed_white_space(monkeypatch):
         want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
         assert sum(T.PieceEncoder._split(t) is not None for t in texts) > 50
         assert enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
+
+
+def test_words_before_a_mark_are_looked_up_without_the_pattern():
+    class Counting:
+        calls = 0
+
+        def __init__(self, split):
+            self.findall_of = split.findall
+
+        def findall(self, text):
+            Counting.calls += 1
+            return self.findall_of(text)
+
+    enc, tok = T.PieceEncoder(queries.TOKENIZER, public_tokenizers.PATTERN), plain()
+    enc.split = Counting(enc.split)
+    texts = ["so know, words. and words! but naïve; or: this? (no) end)", "so new, words"]
+    for coded, text in zip(enc.encode(texts), texts):
+        assert np.frombuffer(coded, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert Counting.calls == 2  # the first word, which both share, and "(no)"
