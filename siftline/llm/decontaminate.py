@@ -7,16 +7,18 @@
    the weight of all its shingles. A document holding less than ``threshold`` of an item's weight
    anywhere cannot hold such a window, so its places are not looked at further; the others give the
    places where a window of the item's size may begin (the shingle's place less its place in the item).
-3. Every such window is measured exactly, over the distinct shingles it shares with the item. A window
-   that begins with a foreign shingle holds no more than the one that begins at its first shared shingle,
+3. These windows and the items get SimHash fingerprints in which every shingle counts 1, so that passages
+   which many documents share weigh no less than the words an edit brings in. A multi-index proposes the items
+   near a window: two fingerprints that differ in at most R of 64 bits differ in at most R // 8 bits of one of
+   their 8 bytes, so items are indexed under every byte value within that distance. R follows from ``threshold``.
+4. For what is proposed, every window is measured exactly, over the distinct shingles it shares with the item. A
+   window that begins with a foreign shingle holds no more than the one that begins at its first shared shingle,
    so the places of shared shingles and the aligned places of step 2 are all the beginnings there are.
-4. The best window of each document and item is reported if it reaches ``threshold``, with the bits in
-   which its SimHash fingerprint differs from the item's. Fingerprints decide nothing by themselves: the
-   shingles of a passage that many documents share weigh little, so that a few edited words rule the
-   fingerprint of a window whose similarity is high.
-5. A caller may ask for matches within ``radius`` bits only, which drops such edited copies. They are found
-   by a multi-index: two fingerprints that differ in at most R of 64 bits differ in at most R // 8 bits of
-   one of their 8 bytes, so items are indexed under every byte value within that distance.
+5. No radius guarantees a similarity for certain, so that the documents and items of step 2 which the index does
+   not propose are measured in the same way. Nothing is lost by the index.
+6. The best window of each document and item is reported if it reaches ``threshold``, with the bits in which its
+   fingerprint by the weights of step 1 differs from the item's. A caller may ask for matches within ``radius`` of
+   those bits only, found by the same index; this drops edited copies of passages that many documents share.
 
 The benchmark is a small table; its shingles and index are broadcast only up to ``BROADCAST_ROWS``
 rows and otherwise joined by a shuffle, as are the places.
@@ -30,6 +32,7 @@ they match, by their text; an empty table on either side gives no match; other c
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +96,12 @@ def byte_of(column: str, i: int) -> Column:
     return F.shiftrightunsigned(F.col(column), 8 * i).bitwiseAND(F.lit(255)).cast("int")
 
 
+def radius_for(threshold: float) -> int:
+    """Bits of 64 in which windows of this similarity may differ: the mean of random hyperplanes and 3.5 deviations."""
+    share = acos(min(1.0, max(0.0, threshold))) / pi
+    return min(63, int(64 * share + 3.5 * sqrt(64 * share * (1 - share))))
+
+
 def near_bytes(distance: int) -> list[int]:
     """The masks of one byte with at most ``distance`` bits."""
     return sorted(sum(1 << b for b in bits) for d in range(distance + 1) for bits in combinations(range(8), d))
@@ -111,6 +120,28 @@ def within_radius(window_prints: DataFrame, item_prints: DataFrame, key: list[st
     return probes.join(bounded(index), ["size", "block", "byte"]).where(apart <= radius).select(*key, "item_id").distinct()
 
 
+WINDOW = ["doc_id", "row_hash", "start", "size"]
+
+
+def window_shingles(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The distinct shingles ``h`` of the ``wanted`` windows, read again from the texts."""
+    windows = materialise(wanted.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "size")).alias("wanted")), "windows")
+    same_row = F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.row_hash") == F.col("r.row_hash"))
+    worded = with_words(source.alias("s").join(bounded(windows).alias("r"), same_row), "s.text", "s.doc_id", "s.row_hash", "wanted")
+    cut = F.transform("wanted", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))
+    cut = worded.select("doc_id", "row_hash", F.explode(cut).alias("x")).select("doc_id", "row_hash", "x.*")
+    return cut.select(*WINDOW, F.explode(F.array_distinct(shingles("w", words, True))).alias("h")).distinct()
+
+
+def proposed(source: DataFrame, located: DataFrame, item_shingles: DataFrame, words: int, radius: int) -> DataFrame:
+    """The rows and items (doc_id, row_hash, item_id) of which the multi-index finds a window within ``radius`` bits."""
+    starts = located.select("doc_id", "row_hash", F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start"), "size").distinct()
+    parts = window_shingles(source, starts, words).withColumn("one", F.lit(1))
+    own = item_shingles.select("item_id", "size", "h").distinct().withColumn("one", F.lit(1))
+    prints = materialise(fingerprint(parts, WINDOW, "h", "one"), "window-prints")
+    return within_radius(prints, fingerprint(own, ["item_id", "size"], "h", "one"), WINDOW, radius).select("doc_id", "row_hash", "item_id").distinct()
+
+
 def best_windows(located: DataFrame, words: int, threshold: float) -> DataFrame:
     """Per row and item the most similar window of the item's size, the first of equals, if it reaches ``threshold``.
 
@@ -185,25 +216,22 @@ def find_matches(
         hits.alias("p").join(likely.alias("l"), same_row).select("p.*", "l.item_id")
         .join(heavy.select("item_id", "h", "size", "weight", "whole", F.col("place").alias("at")), ["item_id", "h"])
     )
-    best = materialise(best_windows(located, words, threshold), "best-windows")
-    windows = materialise(best.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "size")).alias("wanted")), "windows")
-    right = bounded(windows).alias("r")
-    same_row = F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.row_hash") == F.col("r.row_hash"))
-    cut = (
-        with_words(source.alias("s").join(right, same_row), "s.text", "s.doc_id", "s.row_hash", "wanted")
-        .select("doc_id", "row_hash", "w", F.explode("wanted").alias("x")).select("doc_id", "row_hash", "x.start", "x.size", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w"))
-    )
-    key = ["doc_id", "row_hash", "start", "size"]
-    parts = cut.select(*key, F.explode(F.array_distinct(shingles("w", words, True))).alias("h")).distinct()
+    located = materialise(located, "located")
+    near = materialise(proposed(source, located, item_shingles, words, radius_for(threshold)), "proposed").alias("n")
+    same_pair = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.row_hash") == F.col("n.row_hash")) & (F.col("p.item_id") == F.col("n.item_id"))
+    verified = best_windows(located.alias("p").join(near, same_pair, "left_semi"), words, threshold)
+    others = best_windows(located.alias("p").join(near, same_pair, "left_anti"), words, threshold)
+    best = materialise(verified.unionByName(others), "best-windows")
+    parts = window_shingles(source, best, words)
     parts = materialise(
         parts.join(bounded(weights), "h", "left").withColumn("weight", F.coalesce("weight", weight(F.lit(1)))), "window-shingles"
     )
 
-    window_prints = fingerprint(parts, key, "h", "weight")
+    window_prints = fingerprint(parts, WINDOW, "h", "weight")
     item_prints = fingerprint(heavy.select("item_id", "size", "h", "weight").distinct(), ["item_id", "size"], "h", "weight")
     if radius is not None:
         best = best.alias("n").join(
-            within_radius(window_prints, item_prints, key, radius).alias("p"),
+            within_radius(window_prints, item_prints, WINDOW, radius).alias("p"),
             F.col("n.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("n.row_hash") == F.col("p.row_hash")) & (F.col("n.start") == F.col("p.start")) & (F.col("n.item_id") == F.col("p.item_id")), "left_semi",
         )
     same_window = F.col("n.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("n.row_hash") == F.col("p.row_hash")) & (F.col("n.start") == F.col("p.start")) & (F.col("n.size") == F.col("p.size"))

@@ -93,3 +93,22 @@ def test_edited_copies_of_a_passage_that_many_documents_share(spark):
     assert got == brute(docs, items) and len(got) == len(rows) and {(200 + i, 1) for i in range(38)} <= got
     # The radius alone loses some of them, which is why it is off unless asked for.
     assert {(r.doc_id, r.item_id) for r in D.find_matches(table, bench, radius=D.RADIUS).collect()} == {(r.doc_id, 1) for r in rows if r.bits <= D.RADIUS} < got
+
+
+def test_query_asks_the_index_and_the_index_finds_edited_hot_passages(spark, sf, monkeypatch):
+    asked = []
+    index = D.within_radius
+    monkeypatch.setattr(D, "within_radius", lambda *a: asked.append(index(*a)) or asked[-1])
+    found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op6_decontamination"](spark, sf).collect()}
+    near = {(r.doc_id, r.item_id) for r in asked[0].collect()}
+    assert len(asked) == 1 and len(found & near) >= 0.9 * len(found) > 0
+    asked.clear()
+    w = [f"p{i}" for i in range(38)]
+    docs = [(i, f"left{i} {' '.join(w)} right{i}") for i in range(150)]
+    docs += [(200 + i, f"left{i} {' '.join(w[:i] + [f'other{i}'] + w[i + 1 :])} right{i}") for i in range(38)]
+    got = D.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    assert got.count() == len(docs) and asked[0].select("doc_id").distinct().count() >= 0.95 * len(docs)
+
+
+def test_radius_follows_from_the_threshold():
+    assert D.radius_for(0.8) == D.RADIUS and D.radius_for(1.0) == 0 and D.radius_for(0.6) > D.RADIUS
