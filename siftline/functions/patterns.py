@@ -14,6 +14,10 @@ SPACE_SET = (
 )
 SPACE = f"[{SPACE_SET}]"
 TRIM = f"^{SPACE}+|{SPACE}+$"
+# The characters of SPACE one by one.
+SPACES = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
 LONG_WORD = WORD + "{3,}"
 
 # ---------------------------------------------------------------------------

@@ -166,10 +166,10 @@ def gate2(
 
     df = df.withColumns(
         {
-            "_found_targets": searched(X.find_all(raw, P.TARGET)),
-            "_found_features": searched(X.find_all(raw, P.FEATURE)),
-            "_has_source": searched(X.any_pattern(raw, P.DATA_SOURCE)),
-            "_use": searched(X.context_of(raw, P.INTENDED_USE)),
+            "_found_targets": searched(X.find_all(raw, P.TARGET, lower=text)),
+            "_found_features": searched(X.find_all(raw, P.FEATURE, lower=text)),
+            "_has_source": searched(X.any_pattern(raw, P.DATA_SOURCE, text)),
+            "_use": searched(X.context_of(raw, P.INTENDED_USE, lower=text)),
             "_task": searched(X.task_by_keyword(raw)),
             "_names_target": searched(X.any_keyword(text, vocab.target_words)),
         }
@@ -563,19 +563,24 @@ def merge_canonical(df: DataFrame, answers: DataFrame, on: str = "id") -> DataFr
 
 def discussion_flag(title: X.Col, text: X.Col) -> Column:
     """Talks about a topic without asking for anything to be built."""
-    both = X.combined(title, text)
-    return X.any_keyword(both, V.DISCUSSION_MARKER) & ~X.any_keyword(both, V.DISCUSSION_ACTION)
+    return X.bound(X.combined(title, text), _discusses)
+
+
+def _discusses(low: X.Col) -> Column:
+    return X.any_keyword(low, V.DISCUSSION_MARKER) & ~X.any_keyword(low, V.DISCUSSION_ACTION)
 
 
 def rule_classify(df: DataFrame) -> DataFrame:
     """Add ``rule``: the keyword classifier's answer as a struct."""
-    title, body = F.lower(X.blank("title")), F.lower(X.blank("full_text"))
+    # Columns of their own: computed once, not once per word list.
+    df = df.withColumns({
+        "_rule_title": F.lower(X.blank("title")), "_rule_body": F.lower(X.blank("full_text")), "_rule_all": X.combined("title", "full_text")})
 
     def seen(vocab):
-        return X.any_keyword(body, vocab) | X.any_keyword(title, vocab)
+        return X.any_keyword("_rule_body", vocab) | X.any_keyword("_rule_title", vocab)
 
     code = (
-        F.when(discussion_flag("title", "full_text"), "discussion")
+        F.when(_discusses("_rule_all"), "discussion")
         .when(~seen(V.FEASIBLE_ML), "no_ml")
         .when(seen(V.FEASIBLE_CLASSIFICATION), "classification")
         .when(seen(V.FEASIBLE_REGRESSION), "regression")
@@ -599,7 +604,7 @@ def rule_classify(df: DataFrame) -> DataFrame:
         (code == "discussion").alias("is_discussion"),
         F.when(~rejected, "rule_based").alias("method"),
     )
-    return df.withColumn("rule", rule).drop("_code")
+    return df.withColumn("rule", rule).drop("_code", "_rule_title", "_rule_body", "_rule_all")
 
 
 def classify(
