@@ -99,16 +99,23 @@ def parse_canonical(df: DataFrame, text: str = "response_text") -> DataFrame:
 
 def section(text: X.Col, heading: str) -> Column:
     """First line under a '## heading', NULL when there is none."""
+    return X.bound(X.trimmed(X.blank(text)), lambda t: _section(t, heading))
+
+
+def _section(text: X.Col, heading: str) -> Column:
     regex = r"(?i)###?\s*" + heading + r":?\s*\n([^\n]+)"
-    return X.filled(X.trimmed(F.regexp_extract(X.trimmed(X.blank(text)), regex, 1)))
+    text = X.as_col(text)
+    return F.when(text.contains("##"), X.filled(X.trimmed(F.regexp_extract(text, regex, 1))))
 
 
 def parse_sections(df: DataFrame, text: str = "response_text", weak_length: int = 100, width: int = 500) -> DataFrame:
     """Add is_ml_problem, confidence, problem_type, extracted_problem and ``details``."""
-    raw = X.trimmed(X.blank(text))
+    # Trimmed once, not once per section; tied to the row so that it is not copied into them again.
+    df = df.withColumn("_raw", X.once(X.trimmed(X.blank(text))))
+    raw = F.col("_raw")
     refused = F.upper(raw).contains("REJECTED:") | F.lower(raw).contains("not suitable")
     df = df.withColumn("_refused", refused).withColumn(
-        "_d", F.struct(*[section(text, h).alias(name) for name, h in V.ANSWER_SECTIONS.items()])
+        "_d", F.struct(*[_section("_raw", h).alias(name) for name, h in V.ANSWER_SECTIONS.items()])
     )
     d, refused = F.col("_d"), F.col("_refused")
     strong = ~refused & d["title"].isNotNull() & d["problem_statement"].isNotNull()
@@ -129,7 +136,7 @@ def parse_sections(df: DataFrame, text: str = "response_text", weak_length: int
             .when(weak, F.substring(raw, 1, width)).otherwise(""),
             "details": F.when(strong, d),
         }
-    ).drop("_refused", "_d", "_strong", "_weak")
+    ).drop("_raw", "_refused", "_d", "_strong", "_weak")
 
 
 PARSERS = {KIND_JSON: parse_feasibility, KIND_CANONICAL: parse_canonical, KIND_SECTIONS: parse_sections}
