@@ -98,25 +98,32 @@ def _ordering(table: np.ndarray, names: list[str], listed: np.ndarray | None):
                     bit = key & (8 * len(listed) - 1)
                     keep &= (listed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
                 of = pa.array(row[keep])
+                pos += b.column("_out").to_numpy(zero_copy_only=False)[row]
                 columns = [b.column(c).take(of) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pos[keep].astype(np.int32)), pa.array(key[keep])], [*names, "pos", "t"])
 
     return order
 
 
+def sizes(sets: DataFrame) -> Column:
+    """How many tokens a set has; ``n`` where only some of them are still in ``toks`` (``only``)."""
+    return F.col("n") if "n" in sets.columns else F.size("toks")
+
+
 def prefixes(
     sets: DataFrame, table: Sequence[int], threshold: Column, carry: Sequence[str] = (), most: int | None = None, listed: np.ndarray | None = None,
 ) -> DataFrame:
     """(k, n, carried columns, pos, t): the prefix tokens of each set with their 0-based position.
 
     ``most``: no more tokens of a set than that; ``listed``: only tokens that are in it (``listing``).
+    Tokens that were left out of ``toks`` (``only``) are in no other set, so they come first in the order.
     """
-    n = F.size("toks")
-    length = F.least(F.greatest(n - F.ceil(threshold * n - EPS).cast("int") + 1, F.lit(1)), n)
+    n, out = sizes(sets), sizes(sets) - F.size("toks")
+    length = F.least(F.greatest(n - F.ceil(threshold * n - EPS).cast("int") + 1, F.lit(1)), n) - out
     length = length if most is None else F.least(length, F.lit(most))
     hashed = F.transform("toks", lambda t: F.xxhash64(t))
-    rows = sets.select("k", n.alias("n"), *carry, length.alias("_len"), hashed.alias("_h"))
-    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name not in ("_len", "_h")]
+    rows = sets.select("k", n.alias("n"), *carry, length.alias("_len"), out.alias("_out"), hashed.alias("_h"))
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name not in ("_len", "_out", "_h")]
     schema = T.StructType([*fields, T.StructField("pos", T.IntegerType()), T.StructField("t", T.LongType())])
     return rows.mapInArrow(_ordering(np.array(table, dtype=np.int8), [f.name for f in fields], listed), schema)
 
@@ -129,6 +136,35 @@ def listing(rows: DataFrame, size: int = 1 << 24) -> np.ndarray:
     return np.packbits(marked)
 
 
+def _kept_tokens(listed: np.ndarray, names: list[str]):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                h, row = _flat(b.column("_h"))
+                bit = h & (8 * len(listed) - 1)
+                held = (listed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+                ends = np.bincount(row[held], minlength=b.num_rows).cumsum()
+                toks = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), b.column("toks").flatten().filter(pa.array(held)))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], toks], [*names, "toks"])
+
+    return keep
+
+
+def only(sets: DataFrame, listed: np.ndarray) -> DataFrame:
+    """The sets with the ``listed`` tokens alone in ``toks``; ``n`` is the number of all of them."""
+    rows = sets.withColumns({"n": F.size("toks"), "_h": F.transform("toks", lambda t: F.xxhash64(t))})
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name not in ("toks", "_h")]
+    schema = T.StructType([*fields, T.StructField("toks", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(_kept_tokens(listed, [f.name for f in fields]), schema)
+
+
+def common(left: DataFrame, right: DataFrame, size: int = 1 << 24) -> np.ndarray:
+    """The ``listing`` of the tokens that are on both sides, and of few others by their hash."""
+    left, right = (x.select(F.explode("toks").alias("t")).select(F.xxhash64("t").bitwiseAND(F.lit(size - 1)).alias("t")).distinct() for x in (left, right))
+    return listing(left.join(right, "t", "left_semi"), size)
+
+
 def may_reach(a: str, b: str, threshold: Column) -> Column:
     """Can the sets behind two rows of one prefix token reach the threshold?
 
@@ -253,11 +289,11 @@ def asked(sets: DataFrame, keys: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Add ``jaccard`` from the whole sets, and ``l_``/``r_`` copies of the extra columns."""
-    l = left.select(F.col("k").alias("lk"), F.col("toks").alias("lt"), *[F.col(c).alias(f"l_{c}") for c in extra])
-    r = right.select(F.col("k").alias("rk"), F.col("toks").alias("rt"), *[F.col(c).alias(f"r_{c}") for c in extra])
+    l = left.select(F.col("k").alias("lk"), F.col("toks").alias("lt"), sizes(left).alias("_ln"), *[F.col(c).alias(f"l_{c}") for c in extra])
+    r = right.select(F.col("k").alias("rk"), F.col("toks").alias("rt"), sizes(right).alias("_rn"), *[F.col(c).alias(f"r_{c}") for c in extra])
     both = pairs.join(l, "lk").join(r, "rk")
-    both = once(both, F.size(F.array_intersect("lt", "rt")), "_shared").withColumn("_union", F.size("lt") + F.size("rt") - F.col("_shared"))
-    return both.withColumn("jaccard", F.when(F.col("_union") > 0, F.col("_shared") / F.col("_union")).otherwise(0.0)).drop("lt", "rt", "_shared", "_union")
+    both = once(both, F.size(F.array_intersect("lt", "rt")), "_shared").withColumn("_union", F.col("_ln") + F.col("_rn") - F.col("_shared"))
+    return both.withColumn("jaccard", F.when(F.col("_union") > 0, F.col("_shared") / F.col("_union")).otherwise(0.0)).drop("lt", "rt", "_ln", "_rn", "_shared", "_union")
 
 
 def once(df: DataFrame, value: Column, name: str) -> DataFrame:

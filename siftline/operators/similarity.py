@@ -263,10 +263,21 @@ def _match_text(problems, catalog, threshold, k, terms, problem, dataset, ptext,
         sets = sets.select("k", F.array_distinct(X.tokens("low")).alias("toks"), term_mask("low", terms).alias("mask"))
         return low.select("id", "k"), sets
 
-    # Everything below works on distinct texts and is used several times: write it once.
+    def classes(members, sets, words):
+        """Members and sets of equal size with the same terms and the same of the ``words``: they are equally similar to anything."""
+        own = J.only(sets, words).withColumn("toks", F.sort_array("toks"))
+        own = kept(own.withColumn("c", F.md5(F.concat_ws(" ", "n", "mask", "toks"))), "text-classes")
+        alike = own.groupBy(F.col("c").alias("k")).agg(*[F.first(c).alias(c) for c in ("n", "mask", "toks")])
+        return kept(members.join(own.select("k", "c"), "k").select("id", F.col("c").alias("k")), "class-members"), kept(alike, "classes")
+
+    # Everything below works on classes of distinct texts, by the words that posts and entries have in common,
+    # and is used several times: write it once.
     p_members, p_sets = sets_of(problems, problem, ptext)
     d_members, d_sets = sets_of(catalog, dataset, dtext)
-    # Of entries with the same text only the first k can be among anyone's k best.
+    words = J.common(p_sets, d_sets)
+    p_members, p_sets = classes(p_members, p_sets, words)
+    d_members, d_sets = classes(d_members, d_sets, words)
+    # Of entries of one class only the first k can be among anyone's k best.
     d_first = cut(first_per_group(d_members, ["k"], ["id"], k))
 
     # Entries that share no token with a post differ only in the terms they share, of which
@@ -322,7 +333,7 @@ def _match_text(problems, catalog, threshold, k, terms, problem, dataset, ptext,
 
 
 def _open_posts(posts: DataFrame, top: DataFrame, most: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(k, toks, mask, bar, thr): what a pair not seen yet needs to change a post's result, and the Jaccard that takes."""
+    """(k, n, toks, mask, bar, thr): what a pair not seen yet needs to change a post's result, and the Jaccard that takes."""
     state = top.groupBy("p").agg(
         F.count_if(F.col("sim") >= threshold).alias("hits"), F.max("sim").alias("best"), F.min("sim").alias("worst"))
     bar = (
@@ -331,7 +342,7 @@ def _open_posts(posts: DataFrame, top: DataFrame, most: DataFrame, threshold: fl
         .otherwise(F.least(F.col("best"), F.lit(threshold)))
     )
     known = posts.join(F.broadcast(most), "mask").join(state, F.col("k") == F.col("p"))
-    return known.select("k", "toks", "mask", bar.alias("bar"), (bar - STEP * F.col("most") - J.EPS).alias("thr"))
+    return known.select("k", "n", "toks", "mask", bar.alias("bar"), (bar - STEP * F.col("most") - J.EPS).alias("thr"))
 
 
 # -- text to vector ---------------------------------------------------------

@@ -49,3 +49,25 @@ def test_what_is_written_for_a_join_grows_like_the_texts(spark, monkeypatch):
     got = {(r["id"], r["registry_seq"]) for r in S.best_match(df, reg, 0.7).collect()}
     assert got == {(i, i) for i in range(400)} | {(400, 0)}  # the first text lies in the last one
     assert scored[0] <= 2 * 401
+
+
+def test_words_on_one_side_only_multiply_no_pairs(spark, monkeypatch):
+    # 300 entries that differ in words no post has, 40 posts that differ in words no entry has.
+    rnd = random.Random(7)
+    ps = [(i, f"post{i} churn based on the usage of data {'x' * (i % 3)}") for i in range(40)] + [(40, "nothing alike"), (41, "")]
+    ds = [(i, f"entry{i} b{rnd.randrange(50)} dataset for churn based on usage") for i in range(300)] + [(300, ""), (301, "data of the usage")]
+    scored, plain = [], J.verify
+    monkeypatch.setattr(J, "verify", lambda pairs, *a, **k: scored.append(pairs.count()) or plain(pairs, *a, **k))
+    p, d = spark.createDataFrame(ps, "problem_id long, match_text string"), spark.createDataFrame(ds, "dataset_id long, match_text string")
+    terms = ("data", "usage")
+    got = sorted((r[0], r[1], round(r[2], 9), r[3]) for r in S.match(p, d, threshold=0.3, terms=terms).collect())
+    want = []
+    for i, a in ps:
+        best = []
+        for j, b in ds:
+            x, y = set(a.split()), set(b.split())
+            sim = (len(x & y) / len(x | y) if x | y else 0.0) + sum(0.1 for t in terms if t in a and t in b)
+            best.append((-min(1.0, sim), j))
+        want += [(i, j, round(-s, 9), n) for n, (s, j) in enumerate(sorted(best)[:3], 1) if -s >= 0.3 or n == 1]
+    assert got == sorted(want)
+    assert sum(scored) <= 60
