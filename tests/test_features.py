@@ -189,3 +189,22 @@ def test_rows_after_oversampling_are_bounded(spark):
     if len(prep.labels) > 1:
         grown = MD.balanced(prep).count()
         assert MD.balanced(prep, max_rows=100).count() == min(100, grown)
+
+
+def test_silhouette_writes_each_row_once(spark, monkeypatch):
+    # Each row was shuffled once per block; 60 blocks of 5 rows here. Clusters of one row and rows without one count too.
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(300, 2)), [None if i % 50 == 7 else 99 if i == 3 else i % 4 for i in range(300)]
+    d = spark.createDataFrame([(c[i], x[i].tolist()) for i in range(300)], "prediction int, vec array<double>")
+    plans, plain = [], type(d).agg
+    monkeypatch.setattr(type(d), "agg", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or plain(self, *a, **k))
+    got = E.silhouette(d, block=5).first()
+    s = []
+    for i in range(300):
+        dist = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = [dist[j] for j in range(300) if c[j] == c[i] and j != i and c[i] is not None]
+        others = [np.mean([dist[j] for j in range(300) if c[j] == k]) for k in (0, 1, 2, 3, 99) if k != c[i]]
+        a, b = np.mean(own) if own else None, min(others)
+        s.append(0.0 if a is None else (b - a) / max(a, b))
+    assert got["n"] == 300 and abs(got["silhouette"] - np.mean(s)) < 1e-9
+    assert plans and not any("FlatMapCoGroups" in p or "Generate" in p for p in plans)
