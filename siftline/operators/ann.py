@@ -9,9 +9,10 @@ cells that takes depends on the vectors and grows with their number where they h
 a caller fixes ``probes`` it is measured: the true neighbours of ``ASKED`` queries are found by brute force,
 and as many cells are probed as hold ``least`` of them.
 
-A query is copied ``probes`` times. Cells are split into blocks and their
-queries into chunks of bounded size, so no task grows with the data; equal base vectors beyond the
-first ``k`` by id do not take part, as they cannot be among anyone's ``k`` best.
+Neither queries nor base rows are copied: base rows are written once in the order of their cells, in files
+of bounded size, and a task takes the queries of one file and reads the files in which their cells lie. So no
+task grows with the data; equal base vectors beyond the first ``k`` by id do not take part, as they cannot be
+among anyone's ``k`` best.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.knn import _distances, _matrix, _prepare, block_product
+from siftline.operators.blocks import matrix, read_blocks, write_blocks
+from siftline.operators.knn import _distances, _matrix, _prepare, nearest
 from siftline.operators.ranking import first_per_group
 from siftline.session import cut
 
@@ -33,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELL_ROWS = 1024
 MOST_CELLS = 4096  # pivots on the driver
 BLOCK = 4096
+HELD = 1 << 20  # rows found, in a task
 ASKED = 256  # queries whose neighbours are found by brute force
 LEAST = 0.95
 
@@ -91,6 +94,38 @@ def probes_needed(cells: Cells, queries: DataFrame, placed: DataFrame, k: int, l
     return int(np.sort(rank)[max(0, int(np.ceil(least * len(rank))) - 1)]) + 1 if len(rank) else 1
 
 
+def best_rows(x: np.ndarray, asks: np.ndarray, files: list[str], k: int, block: int):
+    """(q, neighbour, distance) frames of the ``k`` nearest rows to each row of ``x`` in the cells it asks for.
+
+    ``files``: (id, vec, cell) in the order of cells and ids, read one after the other. What is held between
+    them is the best so far and at most ``HELD`` rows found since.
+    """
+    wanted, bound, found, n = np.flatnonzero(asks.any(0)), np.full(len(x), np.inf), [], 0
+
+    def best() -> pd.DataFrame:
+        rows = pd.concat(found).sort_values(["q", "distance", "neighbour"]).groupby("q").head(k).reset_index(drop=True)
+        full = rows.groupby("q")["distance"].agg(["size", "max"])
+        full = full[full["size"] >= k]
+        bound[full.index.to_numpy()] = full["max"].to_numpy()
+        return rows
+
+    for uri in files:
+        for b in read_blocks(uri, block, ("cell", wanted)):
+            ids, cell, y = b.column("id").to_pandas().to_numpy(), b.column("cell").to_numpy(), matrix(b.column("vec"), b.num_rows)
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            for start, end in zip(starts, np.append(starts[1:], len(cell))):
+                own = np.flatnonzero(asks[:, cell[start]])
+                if not len(own):
+                    continue
+                for qi, bi, exact in nearest(x[own], y[start:end], bound[own], k):
+                    found.append(pd.DataFrame({"q": own[qi], "neighbour": ids[start + bi], "distance": exact}))
+                    n += len(qi)
+                if n > HELD:
+                    found, n = [best()], 0
+    if found:
+        yield best()
+
+
 def approx_join(
     queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", probes: int | None = None, cell_rows: int = CELL_ROWS,
     exclude_self: bool = False, block: int = BLOCK, least: float = LEAST,
@@ -119,28 +154,24 @@ def approx_join(
     wide = len(cells.coarse) if probes is None else max(2, probes)  # ranks are measured among all cells
     probes = probes_needed(cells, q_all.select("id", "vec"), placed, k, least) if probes is None else probes
 
-    def route(batches):
-        for pdf in batches:
-            found = cells.nearest(_matrix(pdf["vec"]), probes, wide)[0]
-            yield pdf.assign(cells=[row[row >= 0].astype("int32").tolist() for row in found])
-
     asked = cut(q_all.withColumn("qid", F.xxhash64("vec")).groupBy("vec").agg(F.min("qid").alias("qid")))
-    routed = cut(asked.mapInPandas(route, "vec array<double>, qid bigint, cells array<int>").select("vec", "qid", F.explode("cells").alias("cell")))
-
-    # Blocks of a cell and chunks of its queries: both have ``block`` rows or so.
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    size = cut(parts(placed, "blocks").join(parts(routed, "chunks"), "cell"))  # a row per cell
-    left = routed.join(F.broadcast(size), "cell").withColumns({
-        "chunk": F.pmod(F.col("qid"), F.col("chunks")).cast("int"), "blk": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    right = placed.join(F.broadcast(size), "cell").withColumns({
-        "blk": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
-    keys = ["cell", "blk", "chunk"]
-    found = left.select(*keys, "qid", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInPandas(
-        block_product(want), f"qid bigint, neighbour {id_type}, distance double")
-    near = first_per_group(found, ["qid"], ["distance", "neighbour"], want)
-    pairs = q_all.select("id", F.xxhash64("vec").alias("qid")).join(near, "qid").drop("qid")
+    held = write_blocks(placed, ["cell", "id"], n, block, "cells")
+    files = write_blocks(asked, ["qid"], asked.count(), block, "cell-queries")
+
+    def visit(batches):
+        """The queries of one file meet the rows of their cells, file by file."""
+        for i in (i for pdf in batches for i in pdf["id"]):
+            for b in read_blocks(files[i], block):
+                x, qid = matrix(b.column("vec"), b.num_rows), b.column("qid").to_numpy()
+                own = cells.nearest(x, probes, wide)[0]
+                asks = np.zeros((len(x), len(cells.pivots)), dtype=bool)
+                asks[np.nonzero(own >= 0)[0], own[own >= 0]] = True
+                for found in best_rows(x, asks, held, want, block):
+                    yield pd.DataFrame({"qid": qid[found["q"]], "neighbour": found["neighbour"], "distance": found["distance"]})
+
+    spark = queries.sparkSession
+    near = spark.range(0, len(files), 1, max(1, len(files))).mapInPandas(visit, f"qid bigint, neighbour {id_type}, distance double")
+    pairs = q_all.select("id", F.xxhash64("vec").alias("qid")).join(near.hint("merge"), "qid").drop("qid")  # its size cannot be told from the number of files
     if exclude_self:
         pairs = first_per_group(pairs.where(F.col("id") != F.col("neighbour")), ["id"], ["distance", "neighbour"], k)
     sim = 1 - F.col("distance") * F.col("distance") / 2 if metric == "cosine" else F.lit(None).cast("double")

@@ -78,3 +78,13 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], schema)
     assert ann.approx_join(one, none, 2).collect() == [] and ann.approx_join(none, one, 2).collect() == []
     assert [(r["id"], r["neighbour"]) for r in ann.approx_join(one, one, 1, "cosine").collect()] == [(1, 1)]
+
+
+def test_queries_are_not_copied_for_their_cells(spark, monkeypatch):
+    """300 queries in 20 cells each were 6,000 rows of a shuffle; strings as ids keep their order on a tie."""
+    b, q = (clustered(spark, n, seed).selectExpr("concat('r', id) AS id", "vec") for n, seed in ((600, 8), (300, 9)))
+    most, plain = [], ann.cut
+    monkeypatch.setattr(ann, "cut", lambda df: most.append(df.count()) or plain(df))
+    monkeypatch.setattr(ann, "HELD", 50)
+    got = ann.approx_join(q, b, 3, probes=20, cell_rows=15, block=32)
+    assert pairs(got) == pairs(knn_join(q, b, 3)) and max(most) <= 600
