@@ -71,3 +71,17 @@ def test_words_on_one_side_only_multiply_no_pairs(spark, monkeypatch):
         want += [(i, j, round(-s, 9), n) for n, (s, j) in enumerate(sorted(best)[:3], 1) if -s >= 0.3 or n == 1]
     assert got == sorted(want)
     assert sum(scored) <= 60
+
+
+def test_pairs_scored_in_rounds_clear_their_shuffles(spark, tmp_path, monkeypatch):
+    # 30 copies of a long text with a word of their own: 900 pairs carry 30 times the texts.
+    long = " ".join(f"w{j}" for j in range(200))
+    rows = [(i, f"{long} own{i}") for i in range(30)] + [(30, f"{long[: len(long) // 2]}"), (31, "")]
+    df = spark.createDataFrame(rows, "id long, signature string")
+    reg = df.withColumnRenamed("id", "registry_seq")
+    once = sorted(map(tuple, S.best_match(df, reg, 0.7).collect()))
+    names, plain = [], S.kept
+    monkeypatch.setattr(S, "kept", lambda d, name="kept": names.append(name) or plain(d, name))
+    monkeypatch.setattr(S, "ROUND_CHARS", 1)
+    assert sorted(map(tuple, S.best_match(df, reg, 0.7).collect())) == once
+    assert 5 < names.count("scored-pairs") < 40
