@@ -46,3 +46,17 @@ def test_search_limits(spark, tmp_path):
         registry = RG.ProblemRegistry(spark, str(tmp_path / f"reg{i}"))
         got = streams.run_search_stream(streams.post_stream(spark, src, schema), registry, str(tmp_path / f"o{i}"), str(tmp_path / f"c{i}"), **limits)
         assert sorted(tuple(r) for r in got.collect()) == [(0, 2, 0, 2, None), (1, 2, 0, 2, None)]
+
+
+def test_a_batch_leaves_compressed_tables_and_no_shuffles(spark, tmp_path, monkeypatch):
+    """Texts of a batch were checkpointed plain, with their signature as one more copy."""
+    text = "a letter about the weather and the garden "
+    rows = [(i, f"Item {i}", f"{text * 20}{i}", f"{text * 20}{i}", "s") for i in range(40)]
+    posts = spark.createDataFrame(rows, "seq long, title string, full_text string, description string, source string")
+    posts.repartition(4).write.parquet(f"{tmp_path}/in")
+    names, plain = [], streams.kept
+    monkeypatch.setattr(streams, "kept", lambda df, name: names.append((name, "signature" in df.columns)) or plain(df, name))
+    registry = RG.ProblemRegistry(spark, f"{tmp_path}/registry")
+    stream = streams.post_stream(spark, f"{tmp_path}/in", posts.schema, files_per_batch=9)
+    got = streams.run_search_stream(stream, registry, f"{tmp_path}/out", f"{tmp_path}/stream", max_batches=None, max_posts=None).first()
+    assert (got.posts, got.skipped) == (40, 0) and names == [("fresh-posts", False)]
